@@ -1,13 +1,14 @@
 """Toxicity: a factorization machine over the hashed terms of a text, trained here in numpy.
 
-A text's terms are its distinct words without case and punctuation, hashed into `BUCKETS`. The score is
-sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>): the pair term, computed from sums of factor vectors in linear time, says
-what two terms mean together (an insult and a group's name) that neither means alone.
-
-Learning takes a bounded sample (`SAMPLE` labelled rows); weights exist for terms of at least `LEAST` of its documents only, so
-chance words weigh nothing. Scoring takes all terms of every whole text. Null, empty and blank texts have no terms and score
-sigmoid(w0). Repeated rows repeat their score; only the id and text columns are read. Without labelled rows every score is 0. An
-empty table gives an empty result.
+A text's terms are its words without case and punctuation, and the beginnings (3 to 7 characters) of those words, all hashed. A
+word's value is 1 where it occurs; a beginning's value is its share of the text's words, 1 from `DENSE` on. The score is
+sigmoid(w0 + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j): the pair term, computed from sums of factor vectors in linear
+time, says what two terms mean together (an insult and a group's name) that neither means alone.
+
+Learning takes a bounded sample (`SAMPLE` labelled rows); weights exist only for the terms most associated with the label there, a
+quarter as many as rows and `KEEP` at most, so chance words weigh nothing. Scoring takes all words of every whole text. Null,
+empty and blank texts have no terms and score sigmoid(w0). Repeated rows repeat their score; only the id and text columns are
+read. Without labelled rows every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,106 +27,143 @@ from .quality_mil import groups
 from .samples import labelled
 
 SAMPLE = 6000
-BUCKETS = 1 << 18
+#: Terms that get weights at most, and the rows of the sample each has to occur in at least.
+KEEP = 1500
 LEAST = 3
 FACTORS = 8
+BEGINNINGS = (3, 4, 5, 6, 7)
+WIDTH = 1 + len(BEGINNINGS)
+DENSE = 0.02
 NOT_WORD = re.compile(r"[\W_]+")
 
 
-class Terms(dict):
-    """word -> bucket of its term (-1 for a word without letters or digits); bounded, forgets everything at `most`."""
+def hashed_terms(word: bytes) -> list[int]:
+    """62-bit hashes of a word's term and of its beginnings; the lowest bit tells a beginning. 0 where there is none."""
+    import xxhash
 
-    def __init__(self, most: int = 400_000):
-        import xxhash
+    term = NOT_WORD.sub("", word.decode("utf-8", "replace").lower())
+    h = lambda t: xxhash.xxh3_64_intdigest(t.encode()) >> 3 << 1 | 2
+    return [h(term) if term else 0, *(h(term[:k]) | 1 if len(term) >= k else 0 for k in BEGINNINGS)]
 
-        self.most, self.hash = most, xxhash.xxh3_64_intdigest
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        term = NOT_WORD.sub("", word.decode("utf-8", "replace").lower())
-        self[word] = i = self.hash(term.encode()) % BUCKETS if term else -1
-        return i
+class Terms(dict):
+    """word -> row of `table`, which holds what `of` says of a word's terms. Bounded; forgets everything at `most`."""
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, bucket) of all distinct terms, by text."""
+    def __init__(self, of=lambda hashes: hashes, most: int = 300_000):
+        self.of, self.most, self.table = of, most, np.zeros((most, WIDTH), np.int64)
+
+    def values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, value) of the texts' terms, by text."""
         split = [t.split() for t in texts]
-        n = [len(s) for s in split]
-        ids = np.fromiter((self[w] for s in split for w in s), np.int64, sum(n))
+        distinct = set().union(*split) if split else set()
+        new = distinct - self.keys()
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = distinct
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), WIDTH), np.int64)
+        if new:
+            at = len(self)
+            self.table[at : at + len(new)] = self.of(np.array([hashed_terms(w) for w in new], np.int64))
+            self.update(zip(new, range(at, at + len(new))))
+        n = np.array([len(s) for s in split], np.int64)
+        ids = np.fromiter((self[w] for s in split for w in s), np.int64, int(n.sum()))
         doc = np.repeat(np.arange(len(n)), n)
-        pairs = np.unique((doc << 32 | ids)[ids >= 0])
-        return pairs >> 32, pairs & 0xFFFFFFFF
+        some = (self.table[:, 0] != 0) | (self.table[:, 1:] != 0).any(1)
+        hit = some[ids]
+        doc, term = np.repeat(doc[hit], WIDTH), self.table[ids[hit]].ravel()
+        doc, term = doc[term != 0], term[term != 0]
+        order = np.lexsort((term, doc))
+        doc, term = doc[order], term[order]
+        begin = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
+        count = np.diff(np.append(begin, len(doc)))
+        doc, term = doc[begin], term[begin]
+        return doc, term, np.where(term & 1, np.minimum(1.0, count / np.maximum(n[doc] * DENSE, 1e-9)), 1.0)
 
 
 class FactorizationMachine:
-    """Weights by row; `row` maps a bucket to its row, row 0 is all zero and stands for unknown terms."""
+    """Weights by row; row 0 is all zero and stands for unknown terms. `terms`: the sorted hashes that have rows 1, 2, ..."""
 
-    def __init__(self, buckets: np.ndarray, factors: int = FACTORS, seed: int = 5):
+    def __init__(self, terms: np.ndarray, factors: int = FACTORS, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.buckets = np.sort(buckets)
-        self.p = {"w0": np.zeros(1, np.float32), "w": np.zeros(len(buckets) + 1, np.float32), "v": (0.01 * rng.standard_normal((len(buckets) + 1, factors))).astype(np.float32)}
+        self.terms = np.sort(terms)
+        self.p = {"w0": np.zeros(1, np.float32), "w": np.zeros(len(terms) + 1, np.float32), "v": (0.01 * rng.standard_normal((len(terms) + 1, factors))).astype(np.float32)}
         self.p["v"][0] = 0
 
-    def rows(self, bucket: np.ndarray) -> np.ndarray:
-        if not len(self.buckets):
-            return np.zeros(len(bucket), np.int64)
-        i = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-        return np.where(self.buckets[i] == bucket, i + 1, 0)
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Twice the row, plus the bit that tells a beginning; 0 for unknown terms."""
+        if not len(self.terms):
+            return np.zeros_like(hashes)
+        i = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[i] == hashes, (i + 1) * 2 + (hashes & 1), 0)
 
-    def logits(self, doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    def logits(self, doc: np.ndarray, row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         p = self.p
-        known = row > 0
-        doc, row = doc[known], row[known]
-        linear = np.bincount(doc, p["w"][row], n)
-        sums, squares = np.zeros((n, p["v"].shape[1])), np.zeros(n)
+        linear, sums, squares = np.bincount(doc, p["w"][row] * x, n), np.zeros((n, p["v"].shape[1])), np.zeros(n)
         if len(row):
-            v = p["v"][row]
+            v = p["v"][row].astype(np.float64) * x[:, None]
             begin = np.flatnonzero(np.diff(doc, prepend=-1))
             sums[doc[begin]] = np.add.reduceat(v, begin, 0)
-            squares = np.bincount(doc, (v.astype(np.float64) ** 2).sum(1), n)
+            squares = np.bincount(doc, (v**2).sum(1), n)
         return p["w0"][0] + linear + 0.5 * ((sums**2).sum(1) - squares)
 
-    def gradients(self, doc: np.ndarray, row: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
+    def gradients(self, doc: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
         p, n = self.p, len(y)
-        v = p["v"][row]
-        sums = np.zeros((n, v.shape[1]), np.float32)
+        v = p["v"][row] * x[:, None]
+        sums = np.zeros((n, v.shape[1]))
         np.add.at(sums, doc, v)
-        squares = np.bincount(doc, (v**2).sum(1), n)
-        d = (_sigmoid(p["w0"][0] + np.bincount(doc, p["w"][row], n) + 0.5 * ((sums**2).sum(1) - squares)) - y) / n
-        g = {"w0": np.array([d.sum()], np.float32), "w": np.bincount(row, d[doc], len(p["w"])).astype(np.float32) + decay * p["w"], "v": decay * p["v"]}
-        np.add.at(g["v"], row, (d[doc, None] * (sums[doc] - v)).astype(np.float32))
+        d = (_sigmoid(self.logits(doc, row, x, n)) - y) / n
+        g = {"w0": np.array([d.sum()], np.float32), "w": np.bincount(row, d[doc] * x, len(p["w"])).astype(np.float32) + decay * p["w"], "v": decay * p["v"]}
+        np.add.at(g["v"], row, (d[doc, None] * x[:, None] * (sums[doc] - v)).astype(np.float32))
         g["w"][0] = g["v"][0] = 0
         return g
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, least: int = LEAST, epochs: int = 40, batch: int = 512, rate: float = 0.05, decay: float = 2e-5, seed: int = 5) -> FactorizationMachine:
-    """The machine for documents given as distinct (doc, bucket) pairs sorted by doc."""
-    kinds, n = np.unique(bucket, return_counts=True)
-    model, rng = FactorizationMachine(kinds[n >= least], seed=seed), np.random.default_rng(seed)
+def associated(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, keep: int, least: int) -> np.ndarray:
+    """The `keep` terms whose values differ most between the labels (Welch's t), among those of at least `least` rows."""
+    kinds, i = np.unique(term, return_inverse=True)
+    rows = np.bincount(i)
+    stats = []
+    for label in (0, 1):
+        m, of = max(1, int((y == label).sum())), y[doc] == label
+        mean = np.bincount(i[of], x[of], len(kinds)) / m
+        stats.append((mean, (np.bincount(i[of], x[of] ** 2, len(kinds)) / m - mean**2 + 1 / m) / m))
+    t = np.abs(stats[1][0] - stats[0][0]) / np.sqrt(stats[0][1] + stats[1][1])
+    good = np.flatnonzero(rows >= least)
+    return kinds[good[np.argsort(-t[good], kind="stable")[:keep]]]
+
+
+def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, keep: int = KEEP, least: int = LEAST, epochs: int = 60, batch: int = 256, rate: float = 0.03, decay: float = 3e-4, seed: int = 5) -> FactorizationMachine:
+    """The machine for documents given as (doc, term, value) sorted by doc."""
+    rng = np.random.default_rng(seed)
+    model = FactorizationMachine(associated(doc, term, x, y, max(1, min(keep, len(y) // 4)), least), seed=seed)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model.p["w0"][:] = np.log(share / (1 - share))
-    row = model.rows(bucket)
-    doc, row = doc[row > 0], row[row > 0]
+    row = model.rows(term) >> 1
+    doc, row, x = doc[row > 0], row[row > 0], x[row > 0]
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     adam = Adam(model.p, rate)
     for epoch in range(epochs):
-        adam.rate = rate * 0.93**epoch
+        adam.rate = rate * 0.95**epoch
         order = rng.permutation(len(y))
         for i in range(0, len(order), batch):
             some = order[i : i + batch]
-            at = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some]) if len(some) else np.zeros(0, int)
+            at = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
             where = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-            adam.step(model.gradients(where, row[at], y[some].astype(np.float32), decay))
+            adam.step(model.gradients(where, row[at], x[at], y[some], decay))
     return model
 
 
-_TERMS: list[Terms] = []
+_TERMS: dict[int, Terms] = {}
 
 
-def terms() -> Terms:
-    if not _TERMS:
-        _TERMS.append(Terms())
-    return _TERMS[0]
+def terms(model: FactorizationMachine | None = None) -> Terms:
+    """One memory per worker and model."""
+    key = hash(float(model.p["w"].astype(np.float64).sum())) if model else 0
+    if key not in _TERMS:
+        _TERMS.clear()
+        _TERMS[key] = Terms(model.rows) if model else Terms()
+    return _TERMS[key]
 
 
 def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **how) -> FactorizationMachine | None:
@@ -135,18 +173,19 @@ def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
         for batch in batches:
             texts, out = text_bytes(batch.column(1)), []
             for a, b in groups(texts):
-                doc, bucket = terms().of(texts[a:b])
+                doc, term, x = terms().values(texts[a:b])
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
-                out += [bucket[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+                out += [term[i:j].astype("<i8").tobytes() + x[i:j].astype("<f4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary()), batch.column(2)], ["id", "x", "y"])
 
     rows = labelled(docs, labels, label, train, sample, id_col, text_col).mapInArrow(run, "id string, x binary, y int").collect()
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: (r["id"], bytes(r["x"])))
-    found = [np.frombuffer(bytes(r["x"]), "<i4").astype(np.int64) for r in rows]
-    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    return fit(doc, np.concatenate(found), np.array([r["y"] for r in rows]), **how)
+    n = [len(r["x"]) // 12 for r in rows]
+    term = np.concatenate([np.frombuffer(r["x"], "<i8", k) for r, k in zip(rows, n)])
+    x = np.concatenate([np.frombuffer(r["x"], "<f4", k, 8 * k) for r, k in zip(rows, n)])
+    return fit(np.repeat(np.arange(len(n)), n), term, x.astype(np.float64), np.array([r["y"] for r in rows]), **how)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +198,8 @@ def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "do
         for batch in batches:
             texts, out = text_bytes(batch.column(1)), []
             for a, b in groups(texts):
-                doc, bucket = terms().of(texts[a:b])
-                out.append(_sigmoid(model.logits(doc, model.rows(bucket), b - a)))
+                doc, row, x = terms(model).values(texts[a:b])
+                out.append(_sigmoid(model.logits(doc, row >> 1, x, b - a)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [id_col, "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, score double")
