@@ -1,19 +1,22 @@
 """Byte-level BPE, encoded by dynamic programming over prefixes and decoded again.
 
-For every prefix of a piece of text there is exactly one token that BPE can put last there. A suffix automaton (Aho-Corasick over
-the vocabulary) lists the tokens that end at a place; a candidate is the last token if it goes with the last token of the prefix
+For every prefix of a piece of text there is exactly one token that BPE can put last there. A suffix automaton (the vocabulary's trie
+with suffix links) lists the tokens that end at a place; a candidate is the last token if it goes with the last token of the prefix
 before it, which a walk up the two tokens' merge trees decides. Back-pointers from the end then give the ids. No merge loop and
 no tokenizer library is involved in encoding.
 
 Whole texts are encoded; null and empty texts have no ids. A text is cut into pieces at the byte-level pattern; each distinct
-piece is encoded once per worker and kept in a bounded memory. Rows are independent: repeated rows repeat their result, extra
-columns are never read, an empty table gives an empty result.
+piece is encoded once per worker and kept in a bounded memory. New pieces are encoded in sorted order, so that the prefixes they
+share are walked once. Rows are independent: repeated rows repeat their result, extra columns are never read, an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Code points whose classes are the same in every Unicode version in use; a text with others is cut by the library's own pre-tokenizer.
 PLAIN = r"[\u0000-\u0240\u2000-\u206f\u20a0-\u20b0]*"
 NEVER = 1 << 60
-MEMORY = 300_000
+MEMORY = 400_000
+#: Bytes of text whose new pieces are encoded together.
+GROUP = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -40,7 +45,6 @@ class BytePairCodec:
     """Encoder and decoder of one byte-level vocabulary file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -64,16 +68,52 @@ class BytePairCodec:
         self.right, self.left = {}, {}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for i, b in self.raw.items():
-            if i not in self.special.values():
-                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
-        self.automaton.make_automaton()
+        self._build({b: i for i, b in self.raw.items() if i not in self.special.values()})
         self.pattern, self.plain = regex.compile(PATTERN), regex.compile(PLAIN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.library = None
         self.memory: dict[str, bytes] = {}
 
+    # --- suffix automaton ---------------------------------------------------------------------------------------------------
+    def _build(self, tokens: dict[bytes, int]) -> None:
+        """Trie of the tokens, its suffix links, and for every state the tokens that end there, longest first. Links into the trie are made moves as they are met."""
+        self.move: dict[int, int] = {}
+        self.ending: list[tuple] = [()]
+        for b, token in tokens.items():
+            state = 0
+            for x in b:
+                to = self.move.get(state << 8 | x)
+                if to is None:
+                    to = self.move[state << 8 | x] = len(self.ending)
+                    self.ending.append(())
+                state = to
+            if self.stands(token):
+                self.ending[state] = ((token, len(b)),)
+        self.link = [0] * len(self.ending)
+        below: list[list[tuple[int, int]]] = [[] for _ in self.ending]
+        for key, to in self.move.items():
+            below[key >> 8].append((key & 255, to))
+        todo = deque([0])
+        while todo:
+            state = todo.popleft()
+            for x, to in below[state]:
+                if state:
+                    at = self.link[state]
+                    while at and at << 8 | x not in self.move:
+                        at = self.link[at]
+                    self.link[to] = self.move.get(at << 8 | x, 0)
+                    self.ending[to] += self.ending[self.link[to]]
+                todo.append(to)
+
+    def _step(self, state: int, x: int) -> int:
+        at = state
+        while at and at << 8 | x not in self.move:
+            at = self.link[at]
+        to = self.move.get(at << 8 | x, 0)
+        if at != state and len(self.move) < 3_000_000:
+            self.move[state << 8 | x] = to
+        return to
+
     # --- pair compatibility -------------------------------------------------------------------------------------------------
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens along one outer edge of a merge tree, byte first, each with the rank of the merge that takes it up."""
@@ -119,32 +159,46 @@ class BytePairCodec:
     def goes(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
             self.pairs[key] = known = self._meets(a, b) is None
         return known
 
     # --- encoding -----------------------------------------------------------------------------------------------------------
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Packed ids of each piece; last[i] is the only token that can end the prefix of i bytes. Sorted pieces share their prefixes' work."""
+        states, last, length = [0], [-1], [0]
+        move, ending, pairs = self.move, self.ending, self.pairs
+        before = b""
+        for piece in pieces:
+            n, same = len(piece), 0
+            most = min(n, len(before))
+            while same < most and piece[same] == before[same]:
+                same += 1
+            del states[same + 1 :], last[same + 1 :], length[same + 1 :]
+            state = states[same]
+            for i in range(same, n):
+                to = move.get(state << 8 | piece[i])
+                state = self._step(state, piece[i]) if to is None else to
+                for token, size in ending[state]:
+                    if size == i + 1:
+                        break
+                    prior = last[i + 1 - size]
+                    goes = pairs.get(prior << 32 | token)
+                    if self.goes(prior, token) if goes is None else goes:
+                        break
+                else:
+                    raise ValueError("the vocabulary has no token for some byte")
+                states.append(state)
+                last.append(token)
+                length.append(size)
+            out, at = [], n
+            while at:
+                out.append(last[at])
+                at -= length[at]
+            before = piece
+            yield array("I", out[::-1]).tobytes()
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one piece: last[i] is the only token that can end the prefix of i bytes."""
-        n = len(piece)
-        last = [-1] * (n + 1)
-        length = [0] * (n + 1)
-        at = 0
-        for end, (token, size) in self.automaton.iter(piece.decode("latin-1")):
-            at = end + 1
-            if last[at] >= 0:
-                continue
-            before = at - size
-            if (self.stands(token) if before == 0 else last[before] >= 0 and self.stands(token) and self.goes(last[before], token)):
-                last[at], length[at] = token, size
-        if n and last[n] < 0:
-            raise ValueError("the vocabulary has no token for some byte")
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= length[at]
-        return out[::-1]
+        return np.frombuffer(next(self.encode_sorted([piece])), "<u4").tolist()
 
     def pieces(self, text: str) -> list[str]:
         if self.plain.fullmatch(text):
@@ -155,25 +209,42 @@ class BytePairCodec:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
-    def _packed(self, piece: str) -> bytes:
-        if (found := self.memory.get(piece)) is None:
-            found = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.memory) >= MEMORY:
+    def split(self, text: str) -> list[str]:
+        """Pieces of a whole text; special strings are pieces of their own."""
+        if self.cut and "<" in text:
+            return [p for part in self.cut.split(text) for p in ((part,) if part in self.special else self.pieces(part))]
+        return self.pieces(text)
+
+    def learn(self, new: set[str]) -> None:
+        for s in new & self.special.keys():
+            self.memory[s] = self.special[s].to_bytes(4, "little")
+        found = sorted((p.encode("utf-8", "replace"), p) for p in new - self.special.keys())
+        self.memory.update(zip((p for _, p in found), self.encode_sorted([b for b, _ in found])))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        begin = 0
+        while begin < len(texts):
+            end = begin
+            size = 0
+            while end < len(texts) and (size < GROUP or end == begin):
+                size += len(texts[end])
+                end += 1
+            split = [self.split(t) for t in texts[begin:end]]
+            distinct = set().union(*split)
+            if new := distinct - self.memory.keys():
+                if len(self.memory) + len(new) > MEMORY:
                     self.memory.clear()
-                self.memory[piece] = found
-        return found
+                    new = distinct
+                if len(self.pairs) > 1_000_000:
+                    self.pairs.clear()
+                self.learn(new)
+            for s in split:
+                yield b"".join(map(self.memory.__getitem__, s))
+            begin = end
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers; special strings in it are their own ids."""
-        known, out = self.memory, []
-        for part in self.cut.split(text) if self.cut and "<" in text else (text,):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            for piece in self.pieces(part):
-                out.append(known.get(piece) or self._packed(piece))
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
     # --- decoding -----------------------------------------------------------------------------------------------------------
     def decode(self, ids: bytes) -> str:
@@ -199,8 +270,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         c = codec(path)
         for batch in batches:
             n, a, b, ids = [], [], [], []
-            for text in batch.column(1):
-                packed = c.encode(text.as_py() or "")
+            for packed in c.encode_all([t or "" for t in batch.column(1).to_pylist()]):
                 n.append(len(packed) // 4)
                 a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(c.decode(packed).encode()).hexdigest())

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import Scratch, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The six ASCII blanks; everything else is part of a word. `bytes.split()` splits at the same six.
@@ -36,39 +35,6 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a folder of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not hasattr(spark.sparkContext, "_tessera_dir"):
-        spark.sparkContext._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return spark.sparkContext._tessera_dir
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a re-read, never a recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        path = f"{self.root}/{tag}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing yet to run reads."""
-        for t in tables:
-            if path := self.paths.pop(id(t), None):
-                jvm = self.spark.sparkContext._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising 64-bit mixer (splitmix64), for uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -254,24 +254,42 @@ def word_scores(key: int, model: BiGru) -> WordScores:
     return _SCORES[key]
 
 
+def _verdicts(model: BiGru, key: int, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    logs = word_scores(key, model).documents(texts)
+    q = np.exp(logs - logs.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    und = [not LETTER.search(t.decode("utf-8", "replace")) for t in texts]
+    return ["und" if u else model.labels[b] for u, b in zip(und, q.argmax(1))], [0.0 if u else float(p) for u, p in zip(und, q.max(1))]
+
+
+def _key(model: BiGru) -> int:
+    return hash(tuple(float(v.astype(np.float64).sum()) for v in model.p.values()))
+
+
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score. The model is a few thousand numbers and travels with the function."""
     kind = docs.schema[id_col].dataType.simpleString()
     if model is None:
         return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    key = hash(tuple(float(v.astype(np.float64).sum()) for v in model.p.values()))
+    key = _key(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = word_scores(key, model)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            logs = scores.documents(texts)
-            q = np.exp(logs - logs.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            best = q.argmax(1)
-            und = [not LETTER.search(t.decode("utf-8", "replace")) for t in texts]
-            lang = ["und" if u else model.labels[b] for u, b in zip(und, best)]
-            score = [0.0 if u else float(p) for u, p in zip(und, q.max(1))]
+            lang, score = _verdicts(model, key, text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: BiGru | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a learned language with a score of at least `least`; none without a model."""
+    if model is None:
+        return docs.limit(0)
+    key, at = _key(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = _verdicts(model, key, text_bytes(batch.column(at)))
+            yield batch.take(pa.array([i for i, (k, p) in enumerate(zip(lang, score)) if k != "und" and p >= least], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,7 @@ text are never read. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,13 +58,21 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits = Limits())
     left = np.bincount(kind, minlength=len(kinds))
     begin = np.concatenate([[0], np.cumsum(left)[:-1]])
     shares = kinds / most
-    room, number, at = most.copy(), 0, 0
-    for _ in range(n):
-        fits = (left > 0) & (kinds <= room).all(1)
+    room, number, at = most.copy(), -1, 0
+    # Examples that fill a sequence by themselves need no search.
+    for k in np.flatnonzero(kinds[:, 0] == limits.tokens):
+        i = order[begin[k] : begin[k] + left[k]]
+        sequence[i] = number + 1 + np.arange(len(i))
+        number += len(i)
+        left[k] = 0
+    room[0], todo = 0, int(left.sum())
+    for _ in range(todo):
+        top = np.searchsorted(kinds[:, 0], room[0], "right")  # kinds are sorted by tokens
+        fits = (left[:top] > 0) & (kinds[:top] <= room).all(1)
         if not fits.any():
-            room, number, at = most.copy(), number + 1, 0
+            room, number, at, top = most.copy(), number + 1, 0, len(kinds)
             fits = left > 0
-        k = int(np.argmax(np.where(fits, shares @ (room / most), -1.0)))
+        k = int(np.argmax(np.where(fits, shares[:top] @ (room / most), -1.0)))
         i = order[begin[k] + left[k] - 1]
         left[k] -= 1
         sequence[i], offset[i] = number, at
@@ -72,23 +81,68 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, limits: Limits = Limits())
     return sequence, offset
 
 
+#: Chunks whose pieces are found without the library: printable Latin-1, where normalisation is lower-casing alone.
+PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*")
+#: The vocabulary's own pattern of pieces for these characters, lower-cased.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+TOGETHER = 400
+
+
 class ChunkIds(dict):
-    """bytes between blanks -> packed ids. The vocabulary drops white space, so a text's ids are those of its chunks, one after the other."""
+    """bytes between blanks -> packed ids. The vocabulary drops white space, so a text's ids are those of its chunks, one after the other.
+
+    A new chunk's pieces are looked up in turn; the library is called for new pieces, many in one text, whose ids are cut apart at
+    the word ends. Chunks of other characters, or that may hold a special string, go to the library as they are.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.of, self.most = Tokenizer.from_file(path), most
+        self.of, self.most, self.pieces = Tokenizer.from_file(path), most, {}
         self.of.no_truncation()
         self.of.no_padding()
+        vocab = self.of.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_pieces(self, new: list[str]) -> None:
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            ids = np.array(self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some):
+                b, at = ids.tobytes(), 0
+                for piece, cut in zip(some, cuts.tolist()):
+                    self.pieces[piece] = b[at:cut]
+                    at = cut
+            else:
+                self.pieces.update(zip(some, self.whole(some)))
 
     def learn(self, new: list[bytes]) -> None:
-        for c, e in zip(new, self.of.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        plain, other = [], []
+        for c in new:
+            s = c.decode("utf-8", "replace")
+            if PLAIN.fullmatch(s) and "<|" not in s:
+                plain.append((c, PIECE.findall(s.lower())))
+            else:
+                other.append((c, s))
+        unknown = {p for _, found in plain for p in found} - self.pieces.keys()
+        if len(self.pieces) + len(unknown) > self.most:
+            self.pieces.clear()
+            unknown = {p for _, found in plain for p in found}
+        self.learn_pieces(list(unknown))
+        get = self.pieces.__getitem__
+        for c, found in plain:
+            self[c] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        for i in range(0, len(other), 1000):
+            self.update(zip((c for c, _ in other[i : i + 1000]), self.whole([s for _, s in other[i : i + 1000]])))
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Packed ids of each text, with the library called for new chunks only, many at once."""
+        """Packed ids of each text."""
         begin = 0
         while begin < len(texts):
             end, size = begin, 0
