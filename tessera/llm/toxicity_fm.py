@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import Scratch, text_bytes
 from .langid import Adam, _sigmoid
 from .quality_mil import groups
 from .samples import labelled
@@ -119,24 +119,25 @@ class FactorizationMachine:
         return g
 
 
-def associated(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, keep: int, least: int) -> np.ndarray:
-    """The `keep` terms whose values differ most between the labels (Welch's t), among those of at least `least` rows."""
-    kinds, i = np.unique(term, return_inverse=True)
-    rows = np.bincount(i)
-    stats = []
+def associated(rows: DataFrame, keep: int, least: int) -> np.ndarray:
+    """The `keep` terms of `rows` (id, y, term, x) whose values differ most between the labels (Welch's t), among those of at least `least` rows."""
+    n = {r["y"]: r["n"] for r in rows.where("term = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sums = [F.sum(F.when(F.col("y") == label, value).otherwise(0.0)).alias(f"{name}{label}") for label in (0, 1) for name, value in (("s", F.col("x")), ("q", F.col("x") * F.col("x")))]
+    stats = rows.where("term <> 0").groupBy("term").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= least)
+    mean, spread = [], []
     for label in (0, 1):
-        m, of = max(1, int((y == label).sum())), y[doc] == label
-        mean = np.bincount(i[of], x[of], len(kinds)) / m
-        stats.append((mean, (np.bincount(i[of], x[of] ** 2, len(kinds)) / m - mean**2 + 1 / m) / m))
-    t = np.abs(stats[1][0] - stats[0][0]) / np.sqrt(stats[0][1] + stats[1][1])
-    good = np.flatnonzero(rows >= least)
-    return kinds[good[np.argsort(-t[good], kind="stable")[:keep]]]
+        m = max(1, n.get(label, 0))
+        mean.append(F.col(f"s{label}") / m)
+        spread.append((F.col(f"q{label}") / m - mean[label] * mean[label] + 1 / m) / m)
+    t = F.abs(mean[1] - mean[0]) / F.sqrt(spread[0] + spread[1])
+    most = max(1, min(keep, sum(n.values()) // 4))
+    return np.array([r["term"] for r in stats.select("term", F.round(t, 9).alias("t")).orderBy(F.desc("t"), "term").limit(most).collect()], np.int64)
 
 
-def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, keep: int = KEEP, least: int = LEAST, epochs: int = 60, batch: int = 256, rate: float = 0.03, decay: float = 3e-4, seed: int = 5) -> FactorizationMachine:
-    """The machine for documents given as (doc, term, value) sorted by doc."""
+def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.03, decay: float = 3e-4, seed: int = 5) -> FactorizationMachine:
+    """The machine for documents given as (doc, term, value) sorted by doc; every term gets weights."""
     rng = np.random.default_rng(seed)
-    model = FactorizationMachine(associated(doc, term, x, y, max(1, min(keep, len(y) // 4)), least), seed=seed)
+    model = FactorizationMachine(np.unique(term), seed=seed)
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model.p["w0"][:] = np.log(share / (1 - share))
     row = model.rows(term) >> 1
@@ -166,26 +167,37 @@ def terms(model: FactorizationMachine | None = None) -> Terms:
     return _TERMS[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **how) -> FactorizationMachine | None:
-    """The machine fitted to a bounded sample of the labelled rows that `train` admits."""
+def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text", **how) -> FactorizationMachine | None:
+    """The machine fitted to a bounded sample of the labelled rows that `train` admits.
+
+    Terms of the sample are chosen where they are; the driver gets the chosen ones' values alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = text_bytes(batch.column(1)), []
+            texts, ids, y = text_bytes(batch.column(1)), batch.column(0), batch.column(2)
             for a, b in groups(texts):
                 doc, term, x = terms().values(texts[a:b])
-                cuts = np.searchsorted(doc, np.arange(b - a + 1))
-                out += [term[i:j].astype("<i8").tobytes() + x[i:j].astype("<f4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary()), batch.column(2)], ["id", "x", "y"])
-
-    rows = labelled(docs, labels, label, train, sample, id_col, text_col).mapInArrow(run, "id string, x binary, y int").collect()
-    if not rows:
+                # A row with term 0 stands for the document itself.
+                doc, term, x = (np.concatenate(v) for v in ((doc, np.arange(b - a)), (term, np.zeros(b - a, np.int64)), (x, np.ones(b - a))))
+                at = pa.array(doc + a)
+                for i in range(0, len(doc), 50_000):
+                    k = slice(i, i + 50_000)
+                    yield pa.RecordBatch.from_arrays([ids.take(at[k]), y.take(at[k]), pa.array(term[k]), pa.array(x[k])], ["id", "y", "term", "x"])
+
+    found = labelled(docs, labels, label, train, sample, id_col, text_col)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.table(found.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, term bigint, x double"), "terms")
+    chosen = associated(rows, keep, LEAST)
+    kept = docs.sparkSession.createDataFrame([(int(t),) for t in [0, *chosen]], "term bigint")
+    table = rows.join(F.broadcast(kept), "term").select("id", "y", "term", "x").toArrow().sort_by([("id", "ascending"), ("term", "ascending")])
+    scratch.drop(rows)
+    if not table.num_rows:
         return None
-    rows = sorted(rows, key=lambda r: (r["id"], bytes(r["x"])))
-    n = [len(r["x"]) // 12 for r in rows]
-    term = np.concatenate([np.frombuffer(r["x"], "<i8", k) for r, k in zip(rows, n)])
-    x = np.concatenate([np.frombuffer(r["x"], "<f4", k, 8 * k) for r, k in zip(rows, n)])
-    return fit(np.repeat(np.arange(len(n)), n), term, x.astype(np.float64), np.array([r["y"] for r in rows]), **how)
+    term, x, y = (table.column(c).to_numpy() for c in ("term", "x", "y"))
+    whole = term == 0
+    doc = np.cumsum(whole) - 1  # a document's own row comes first, as no hash is negative
+    return fit(doc[~whole], term[~whole], x[~whole], y[whole], **how)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
