@@ -7,9 +7,11 @@ Documents are linked where 100 * |intersection| >= 75 * |union|, and the compone
 2. Signatures of `ROWS` * `BANDS` minima are banded. In every bucket all members are paired with the smallest one only (a star).
 3. Pairs are verified in sequence: signatures are compared `STEP` minima at a time, and a pair is dropped as soon as the posterior
    probability that its similarity reaches the threshold is below `MISS`; survivors are confirmed on full sets.
-4. Components of the confirmed links. Only members of a bucket that are in different components can still matter; these are paired,
-   if their sizes and 128-bit sketches (the low bits of their minima) allow it at all, and verified in the same way. Every pair
-   that shares a bucket is thus either verified or already in one class, whatever the size of the bucket: no cap, no cut.
+4. Components of the confirmed links. Only members of a bucket that are in different components can still matter. Pairing a bucket's
+   members would grow with the square of its size, so these documents meet on shingles instead: two sets that reach the threshold
+   share one of the first n - ceil(0.75 n) + 1 elements of each in any common order (prefix filter), and in an order by
+   rising counts those are seldom shared by others. The pairs found, of different components, are verified in the same way. Every
+   pair that shares a bucket is thus either verified, impossible, or already in one class, whatever the bucket's size: no cap, no cut.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -41,6 +43,8 @@ STEP = 16
 MISS = 1e-7
 #: Bits of the filter of ids whose sets are wanted: 1 MiB whatever the input.
 FILTER = 1 << 23
+#: Counters of shingles that order them for the prefix filter; any order is exact, a better one pairs less.
+COUNTERS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -65,14 +69,6 @@ class Threshold:
             out.append(m)
         return np.array(out)
 
-    def most_bits(self) -> int:
-        """Most different low bits, of MINIMA, that a pair at the threshold has but with probability MISS."""
-        q, p, m = (1 - self.share) / 2, 0.0, MINIMA
-        while m > 0 and p + math.comb(MINIMA, m) * q**m * (1 - q) ** (MINIMA - m) < MISS:
-            p += math.comb(MINIMA, m) * q**m * (1 - q) ** (MINIMA - m)
-            m -= 1
-        return m
-
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240501)
@@ -109,28 +105,20 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, digest of the set (null without shingles), signature, and the low bits of its minima as two numbers."""
+    """id, n_shingles, digest of the set (null without shingles), signature."""
     a, b = _constants()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, signatures, bits = [], [], [], []
+            n, digests, signatures = [], [], []
             for text in text_bytes(batch.column(1)):
                 s = shingles(text)
                 n.append(len(s))
-                if len(s):
-                    sig = signature(s, a, b)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    signatures.append(sig.astype("<u4").tobytes())
-                    bits.append(np.packbits(sig & 1).view("<i8"))
-                else:
-                    digests.append(None)
-                    signatures.append(None)
-                    bits.append((0, 0))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), *(pa.array([int(x[i]) for x in bits], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "digest", "sig", "low0", "low1"])
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                signatures.append(signature(s, a, b).astype("<u4").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], ["id", "n", "digest", "sig"])
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n bigint, digest binary, sig binary, low0 bigint, low1 bigint")
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n bigint, digest binary, sig binary")
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
@@ -210,6 +198,44 @@ def by_sets(pairs: DataFrame, docs: DataFrame, t: Threshold, scratch: Scratch, i
     return links
 
 
+def by_prefix(docs: DataFrame, named: DataFrame, t: Threshold, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """a, b: pairs of documents of `named` (id, root) that can be linked and have different roots."""
+    sets = scratch.table(sets_of(docs, named, id_col, text_col), "sets")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                seen += np.bincount((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+
+    told = sets.select("set").mapInArrow(tally, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    order = np.zeros(COUNTERS, np.int64)
+    order[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(order)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value
+        for batch in batches:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(x.as_buffer(), "<u8")
+                take = len(s) + (-t.part * len(s)) // t.over + 1  # n - ceil(share * n) + 1, in whole numbers
+                first = s[np.lexsort((s, order[(s >> np.uint64(48)).astype(np.int64)]))[:take]]
+                for i in range(0, len(first), 50_000):
+                    m = len(first[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, len(s))), pa.array(first[i : i + m].view(np.int64))], ["id", "n", "shingle"])
+
+    # Sets come with a few that passed the filter by chance; the join with the names drops them.
+    rows = sets.mapInArrow(prefix, "id bigint, n bigint, shingle bigint").join(named, "id")
+    rows = scratch.table(rows, "prefix")
+    again = scratch.table(rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle"), "again")
+    rows = scratch.table(rows.join(again, "shingle"), "met")
+    x, y = (rows.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "root", "n")]) for s in "xy")
+    apart = x.join(y, "shingle").where((F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & sizes_allow(F.col("nx"), F.col("ny"), t))
+    return scratch.table(apart.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "apart")
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, t: Threshold, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     survivors = scratch.table(by_signature(pairs, nodes, t), "survivors")
     links = by_sets(survivors, docs, t, scratch, id_col, text_col)
@@ -223,7 +249,7 @@ def classes(spark: SparkSession, docs: DataFrame, t: Threshold = Threshold(), id
     told = scratch.table(describe(docs, id_col, text_col), "described")
     # Equal sets: the smallest id stands for all. The pre-aggregated table is small where copies are many.
     names = scratch.table(told.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id")), "names")
-    nodes = told.join(names, ["digest", "id"]).select("id", "n", "sig", "low0", "low1").dropDuplicates(["id"])
+    nodes = told.join(names, ["digest", "id"]).select("id", "n", "sig").dropDuplicates(["id"])
     nodes = scratch.table(nodes, "nodes")
 
     buckets = band_rows(nodes).groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "lead")
@@ -237,12 +263,8 @@ def classes(spark: SparkSession, docs: DataFrame, t: Threshold = Threshold(), id
     named = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "root")
     named = scratch.table(named, "named")
     mixed = scratch.table(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    rest = named.join(mixed, "key").join(nodes.select("id", "n", "low0", "low1"), "id")
-    rest = scratch.table(rest, "rest")
-    x, y = (rest.select("key", *[F.col(c).alias(c + s) for c in ("id", "root", "n", "low0", "low1")]) for s in "xy")
-    far = F.bit_count(F.col("low0x").bitwiseXOR(F.col("low0y"))) + F.bit_count(F.col("low1x").bitwiseXOR(F.col("low1y")))
-    apart = x.join(y, (x["key"] == y["key"]) & (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & sizes_allow(F.col("nx"), F.col("ny"), t) & (far <= t.most_bits()))
-    apart = scratch.table(apart.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "apart")
+    rest = scratch.table(named.join(mixed, "key").select("id", "root").distinct(), "rest")
+    apart = by_prefix(docs, rest, t, scratch, id_col, text_col)
     if apart.limit(1).count():
         more = verify(apart, nodes, docs, t, scratch, id_col, text_col)
         roots = components(links.unionByName(more), scratch)

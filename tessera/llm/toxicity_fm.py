@@ -155,12 +155,12 @@ def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs:
     return model
 
 
-_TERMS: dict[int, Terms] = {}
+_TERMS: dict[int | None, Terms] = {}
 
 
 def terms(model: FactorizationMachine | None = None) -> Terms:
     """One memory per worker and model."""
-    key = hash(float(model.p["w"].astype(np.float64).sum())) if model else 0
+    key = hash((model.terms.tobytes(), model.p["w"].tobytes())) if model else None
     if key not in _TERMS:
         _TERMS.clear()
         _TERMS[key] = Terms(model.rows) if model else Terms()
