@@ -89,10 +89,17 @@ def number_in(value: Column, pattern: str = INT) -> Column:
     return blank_to_null(F.regexp_extract(value, f"({pattern})", 1))
 
 
+def exact_integer(d: Column) -> Column:
+    """The whole number that a double is, up to 2^95; Spark's own cast takes the shortest decimal digits instead."""
+    high = F.floor(d / 4294967296.0)
+    low = (d - high.cast("double") * 4294967296.0).cast("bigint").cast("decimal(10,0)")
+    return (high.cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + low).cast("decimal(38,0)")
+
+
 def int_from(entries: Column, labels: tuple[str, ...], *texts: Column) -> Column:
     """Exact where a key holds the number; through a double where a label in running text does."""
     direct = number_in(pick_first(entries, *labels)).cast("decimal(38,0)")
-    searched = [search_number(t, k).cast("double").cast("decimal(38,0)") for t in texts for k in labels]
+    searched = [exact_integer(search_number(t, k).cast("double")) for t in texts for k in labels]
     return F.coalesce(direct, *searched)
 
 
