@@ -31,8 +31,8 @@ GAP = -9999
 #: Probes of an empty bin before its donor is found by rank.
 PROBES = 8
 #: Documents in a range of ids, and ranges at most (their bounds are literals of the plan).
-RANGE = 2000
-RANGES = 8192
+RANGE = 500
+RANGES = 32_768
 
 
 def hashes(w: Column, k: int = SHINGLE) -> Column:
