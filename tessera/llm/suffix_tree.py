@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix, text_bytes
 
 DEPTH = 3
-LEAST = 2e-6
+LEAST = 1e-5
 DIVERGENCE = 0.02
 DISCOUNT = 0.75
 #: Stands for the end; no word holds a blank.
