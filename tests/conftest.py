@@ -47,8 +47,9 @@ def plain(v):
     import math
 
     import numpy as np
+    import pandas as pd
 
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
