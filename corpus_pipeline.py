@@ -18,9 +18,14 @@ SURE = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule. The verdict is a projection of the row, so nothing is joined."""
+    """Documents that break no quality rule. The verdict is made from the row, so nothing is joined.
+
+    The row is handed on by a generator, not a filter: a filter would be pushed down through the chain of projections and repeat
+    every one of their expressions wherever it is used.
+    """
     named = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
-    return quality_rules.apply_rules(named, id_col="_row", text_col="_text").where("kept").select("_row.*")
+    rows = quality_rules.apply_rules(named, id_col="_row", text_col="_text")
+    return rows.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_kept")).where(F.col("_kept").isNotNull()).select("_kept.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
