@@ -8,9 +8,9 @@ Documents are linked where 100 * |intersection| >= 75 * |union|, and the compone
 3. Pairs are verified in sequence: signatures are compared `STEP` minima at a time, and a pair is dropped as soon as the posterior
    probability that its similarity reaches the threshold is below `MISS`; survivors are confirmed on full sets.
 4. Components of the confirmed links. Only members of a bucket that are in different components can still matter. Pairing a bucket's
-   members would grow with the square of its size, so these documents meet on shingles instead: two sets that reach the threshold
-   share one of the first n - ceil(0.75 n) + 1 elements of each in any common order (prefix filter), and in an order by
-   rising counts those are seldom shared by others. The pairs found, of different components, are verified in the same way. Every
+   members would grow with the square of its size, so these documents meet on shingles instead: two sets of m and n elements that reach
+   the threshold have o = ceil(0.75 (m + n) / 1.75) in common, so in any common order they share one of the first m - o + 1 and
+   n - o + 1 elements (prefix filter), and in an order by rising counts those are seldom shared by others. The pairs found, of different components, are verified in the same way. Every
    pair that shares a bucket is thus either verified, impossible, or already in one class, whatever the bucket's size: no cap, no cut.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75^4)^32 < 6e-6.
@@ -224,15 +224,17 @@ def by_prefix(docs: DataFrame, named: DataFrame, t: Threshold, scratch: Scratch,
                 first = s[np.lexsort((s, order[(s >> np.uint64(48)).astype(np.int64)]))[:take]]
                 for i in range(0, len(first), 50_000):
                     m = len(first[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, len(s))), pa.array(first[i : i + m].view(np.int64))], ["id", "n", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, doc)), pa.array(np.full(m, len(s))), pa.array(first[i : i + m].view(np.int64)), pa.array(np.arange(i, i + m))], ["id", "n", "shingle", "place"])
 
     # Sets come with a few that passed the filter by chance; the join with the names drops them.
-    rows = sets.mapInArrow(prefix, "id bigint, n bigint, shingle bigint").join(named, "id")
+    rows = sets.mapInArrow(prefix, "id bigint, n bigint, shingle bigint, place bigint").join(named, "id")
     rows = scratch.table(rows, "prefix")
     again = scratch.table(rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle"), "again")
     rows = scratch.table(rows.join(again, "shingle"), "met")
-    x, y = (rows.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "root", "n")]) for s in "xy")
-    apart = x.join(y, "shingle").where((F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & sizes_allow(F.col("nx"), F.col("ny"), t))
+    x, y = (rows.select("shingle", *[F.col(c).alias(c + s) for c in ("id", "root", "n", "place")]) for s in "xy")
+    common = F.ceil(F.expr(f"{t.part}L * (nx + ny)") / (t.part + t.over))
+    near = (F.col("placex") <= F.col("nx") - common) & (F.col("placey") <= F.col("ny") - common)
+    apart = x.join(y, "shingle").where((F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & sizes_allow(F.col("nx"), F.col("ny"), t) & near)
     return scratch.table(apart.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct(), "apart")
 
 
