@@ -95,7 +95,7 @@ class ChunkIds(dict):
     the word ends. Chunks of other characters, or that may hold a special string, go to the library as they are.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -123,21 +123,29 @@ class ChunkIds(dict):
                 self.pieces.update(zip(some, self.whole(some)))
 
     def learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        known, plain, other, unknown = self.pieces, [], [], set()
         for c in new:
             s = c.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s) and "<|" not in s:
-                plain.append((c, PIECE.findall(s.lower())))
-            else:
+            low = s.lower()
+            core = low.rstrip(".,")
+            if not PLAIN.fullmatch(s):
                 other.append((c, s))
-        unknown = {p for _, found in plain for p in found} - self.pieces.keys()
-        if len(self.pieces) + len(unknown) > self.most:
-            self.pieces.clear()
-            unknown = {p for _, found in plain for p in found}
+                continue
+            # Most chunks are a run of letters and perhaps a comma or stop, two pieces at most.
+            if core.isalpha():
+                found = (core,) if len(core) == len(low) else (core, low[len(core) :])
+            elif "<|" in s:
+                other.append((c, s))
+                continue
+            else:
+                found = PIECE.findall(low)
+            plain.append((c, found))
+            unknown.update(p for p in found if p not in known)
         self.learn_pieces(list(unknown))
-        get = self.pieces.__getitem__
         for c, found in plain:
-            self[c] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+            self[c] = known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
         for i in range(0, len(other), 1000):
             self.update(zip((c for c, _ in other[i : i + 1000]), self.whole([s for _, s in other[i : i + 1000]])))
 
