@@ -35,9 +35,11 @@ def jaccard_pairs(sets: DataFrame, threshold: float, filter_slack: float = 0.0)
     # Tokens of one set only can match nothing, but they take places in the prefix.
     w = Window.partitionBy("bucket", "id").orderBy(F.coalesce("df", F.lit(1)), "token")
     prefix = ranked.withColumn("place", F.row_number().over(w)).where((F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull())
-    prefix = prefix.select("bucket", "token", "id", "n")
-    x, y = (prefix.select("bucket", "token", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    candidates = x.join(y, ["bucket", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    x, y = (prefix.select("bucket", "token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in "ab")
+    # What a pair of these sizes has in common at least, so how far into either set the first common token can be.
+    common = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = (F.col("pa") <= F.col("na") - common + 1) & (F.col("pb") <= F.col("nb") - common + 1)
+    candidates = x.join(y, ["bucket", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & near).select("a", "b").distinct()
     full = sets.select(F.col("rep"), "tokens")
     rows = candidates.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
     rows = rows.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("overlap"), F.size("ta").alias("size_a"), F.size("tb").alias("size_b"))
