@@ -2,17 +2,17 @@
 
 Symbols are a text's words (A-Z lower-cased) and one end; an unseen word is one symbol of its own, as in the add-one base. The root's
 distribution is that of single symbols, with the mass that Good and Turing give to unseen ones (words seen once as a share of all).
-A context is the last one to `DEPTH` words. Next-symbol counts c(sx) are kept where they make up a share of at least `LEAST` of all
-training symbols (and are no single occurrences), and distributions are smoothed towards those of the suffix s' (s without its
-oldest word): P(x|s) = max(c(sx) - D, 0) / c(s) + B(s) P(x|s'), where B(s) is what the kept, discounted counts leave. A context is
+A context is the last one to `DEPTH` words. Next-symbol counts c(sx) are kept from `LEAST` occurrences on, whatever the size of the
+corpus, and distributions are smoothed towards those of the suffix s' (s without its oldest word):
+P(x|s) = max(c(sx) - D, 0) / c(s) + B(s) P(x|s'), where B(s) is what the kept, discounted counts leave. A context is
 retained if KL(P(.|s) || P(.|s')) >= `DIVERGENCE`, or if a longer retained one needs it as its suffix. A symbol's probability is that
 of the longest retained suffix of what precedes it.
 
-Counts are of all training documents. Because a kept count is a share of the corpus, there are at most 1 / LEAST of them at each
-depth whatever its size: the proven bound of what is broadcast. (A longer sequence can only be frequent if its parts are, so
-each depth counts just those.) Single words' counts have no bound and are never broadcast: documents are held as blocks of bounded
-size (each a row of a table: word numbers of its texts, its distinct words), all blocks' words are joined with their counts, and
-each block gets its own words' counts back.
+Counts are of all training documents. The tree grows with the corpus, so it lives in written tables, one row per context and per kept
+count, and is never gathered or broadcast: documents are held as blocks of bounded size (each a row of a table: word numbers of its
+texts, its distinct words), what a block may need of words, contexts and counts is joined with the tables by key, and each block
+gets its own part of the tree back. (A sequence can only reach `LEAST` if its parts do. Bit tables of a fixed size tell
+the blocks which parts may; a false yes costs a row of work and changes no count.)
 
 Words are compared by 64-bit hashes; among n distinct words a pair collides with probability n^2 / 2^65. Null, empty and blank texts
 have the end alone. Repeated rows count and are scored as often as they occur; a null id counts as a training row. Columns other than the
@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix, text_bytes
 
 DEPTH = 3
-LEAST = 1e-5
+LEAST = 2
 DIVERGENCE = 0.02
 DISCOUNT = 0.75
 #: Stands for the end; no word holds a blank.
 END = b" "
 #: Bytes of text in a block, about.
-BLOCK = 10 << 20
+BLOCK = 3 << 20
+#: Bits of a filter of keys, as a power of two.
+BITS = 27
 OLDER, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -131,10 +133,6 @@ class Level:
     rest: np.ndarray
     keys: np.ndarray
     count: np.ndarray
-    #: Until the tree is pruned: divergences and suffixes of the contexts, and the context of each key.
-    kl: np.ndarray | None = None
-    suffix: np.ndarray | None = None
-    owner: np.ndarray | None = None
 
 
 def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -168,57 +166,21 @@ class Stream:
 
 
 class SuffixTree:
-    """Levels by depth, from the root's frequent symbols up."""
-
-    def __init__(self, n: int, distinct: int, once: int, frequent: np.ndarray, counts: np.ndarray):
-        order = np.argsort(frequent)
-        self.n, self.frequent, self.frequent_count = n, frequent[order], counts[order]
-        self.unseen = (once + 1) / (n + 2) if distinct else 1.0
-        self.levels: list[Level] = []
+    """A tree, or the part of one that a block needs, from rows (depth, key, n, rest); rest is NaN for the counts of (context, symbol)."""
+
+    def __init__(self, n: int, distinct: int, once: int, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+        self.n, self.unseen, self.levels = n, (once + 1) / (n + 2) if distinct else 1.0, []
+        depth, key, count, rest = rows
+        for d in range(1, int(depth.max(initial=0)) + 1):
+            k, c, r = (x[depth == d] for x in (key, count, rest))
+            order = np.argsort(k)
+            k, c, r = k[order], c[order], r[order]
+            own = np.isnan(r)
+            self.levels.append(Level(k[~own], c[~own].astype(np.float64), r[~own], k[own], c[own]))
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, (1 - self.unseen) * count / max(self.n, 1), self.unseen)
 
-    def often(self, s: Stream, d: int) -> np.ndarray:
-        """Whether the d + 1 symbols that end at each place are a kept count."""
-        if d == 0:
-            return find(self.frequent, s.symbol) >= 0
-        return (s.place >= d) & (find(self.levels[d - 1].keys, follow(s.context(d), s.symbol)) >= 0)
-
-    def add(self, context: np.ndarray, suffix: np.ndarray, symbol: np.ndarray, n: np.ndarray, chain: dict) -> None:
-        """A level from its kept counts; rows with symbol 0 are the contexts' totals. `chain` holds P(x|s) of the level below by key."""
-        whole = symbol == 0
-        order = np.argsort(context[whole])
-        contexts, total, above = context[whole][order], n[whole][order].astype(np.float64), suffix[whole][order]
-        context, suffix, symbol, n = (x[~whole] for x in (context, suffix, symbol, n))
-        c = find(contexts, context)
-        context, suffix, symbol, n, c = (x[c >= 0] for x in (context, suffix, symbol, n, c))
-        rest = 1 - np.bincount(c, (n - DISCOUNT) / total[c], len(contexts))
-        if not self.levels:
-            p_above = self.root(self.frequent_count[find(self.frequent, symbol)])
-        else:
-            p_above = chain["p"][find(chain["keys"], follow(suffix, symbol))]
-        p = (n - DISCOUNT) / total[c] + rest[c] * p_above
-        kl = np.bincount(c, p * np.log(p / p_above), len(contexts))
-        left, left_above = (np.maximum(1 - np.bincount(c, x, len(contexts)), 1e-12) for x in (p, p_above))
-        kl += left * np.log(left / left_above)
-        keys = follow(context, symbol)
-        order = np.argsort(keys)
-        self.levels.append(Level(contexts, total, rest, keys[order], n[order], kl, above, c[order]))
-        chain.clear()
-        chain.update(keys=keys[order], p=p[order])
-
-    def prune(self) -> None:
-        """Retain contexts by divergence, and the suffixes of retained ones."""
-        needed = np.zeros(0, np.uint64)
-        for level in reversed(self.levels):
-            keep = (level.kl >= DIVERGENCE) | np.isin(level.contexts, needed)
-            needed = np.unique(level.suffix[keep])
-            kept = keep[level.owner]
-            level.contexts, level.total, level.rest = level.contexts[keep], level.total[keep], level.rest[keep]
-            level.keys, level.count = level.keys[kept], level.count[kept]
-            level.kl = level.suffix = level.owner = None
-
     def logs(self, s: Stream, count: np.ndarray) -> np.ndarray:
         """log10 P of every symbol; `count`: training counts of the symbols."""
         p, live = self.root(count), np.arange(len(s.tokens))
@@ -238,46 +200,118 @@ def _cells(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(name)[k] for name in batch.schema.names}
 
 
-def count_level(table: DataFrame, tree, d: int, least: int) -> DataFrame:
-    """context, suffix, symbol, n of depth d for training texts: sequences whose parts are frequent, and (symbol 0) the contexts' totals."""
+def key_filter(rows: DataFrame, key: str = "key") -> np.ndarray:
+    """2 ** BITS bits; that of a key's leading bits is set if the key is among the rows."""
+    bit = rows.select(F.shiftrightunsigned(key, 64 - BITS).alias("p"))
+    found = bit.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << BITS - 6, np.uint64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    p = key >> np.uint64(64 - BITS)
+    return (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def event(s: Stream, d: int) -> np.ndarray:
+    """Key of the count of each place's symbol after its d last words; the words' own hashes at depth 0."""
+    return follow(s.context(d), s.symbol) if d else s.symbol
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[False], x[:-1]])
+
+
+def count_level(table: DataFrame, bits, d: int, least: int) -> DataFrame:
+    """context, suffix, key, above (the key without the oldest word), n of depth d for training texts; rows with key 0 are the contexts' totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tree.value
         for batch in batches:
             for row in _cells(batch):
                 lengths = _unpack(row["lengths"].as_py())
                 s = Stream(lengths, _unpack(row["tokens"].as_py()), row["hashes"].as_py())
                 train = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False).astype(bool), lengths)
-                often = model.often(s, d - 1)
-                before = np.concatenate([[False], often[:-1]]) & (s.place >= d) & train
+                above, key, none = event(s, d - 1), event(s, d), np.zeros(len(s.tokens), np.uint64)
+                often = may_hold(bits.value, above) & (s.place >= d - 1)
+                before = shifted(often) & (s.place >= d) & train
                 context, suffix = s.context(d), s.context(d - 1)
-                for at, symbol in ((np.flatnonzero(before & often), s.symbol), (np.flatnonzero(before), np.zeros(len(often), np.uint64))):
-                    _, first, n = np.unique(follow(context[at], symbol[at]), return_index=True, return_counts=True)
+                for at, by, columns in ((np.flatnonzero(before & often), key, (context, suffix, key, above)), (np.flatnonzero(before), context, (context, suffix, none, none))):
+                    _, first, n = np.unique(by[at], return_index=True, return_counts=True)
                     at = at[first]
                     for i in range(0, len(at), 100_000):
                         j = at[i : i + 100_000]
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[j].view(np.int64)) for x in (context, suffix, symbol)), pa.array(n[i : i + 100_000])], ["context", "suffix", "symbol", "n"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[j].view(np.int64)) for x in columns), pa.array(n[i : i + 100_000])], ["context", "suffix", "key", "above", "n"])
 
-    rows = table.select("held", "lengths", "tokens", "hashes").mapInArrow(run, "context bigint, suffix bigint, symbol bigint, n bigint")
-    return rows.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = table.select("held", "lengths", "tokens", "hashes").mapInArrow(run, "context bigint, suffix bigint, key bigint, above bigint, n bigint")
+    return rows.groupBy("context", "suffix", "key", "above").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
-def grow(spark: SparkSession, table: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, share: float = LEAST) -> tuple[SuffixTree, int, int]:
-    """The tree, the number of training symbols, and the number of distinct ones. At most 1 / share rows a depth reach the driver."""
-    told = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).head()
-    least = max(2, int(np.ceil(share * told["n"])))
-    rows = vocabulary.where(F.col("c") >= least).toArrow()
-    column = lambda t, c: t.column(c).to_numpy().astype(np.int64)
-    tree, chain = SuffixTree(told["n"], told["v"], told["once"], column(rows, "h").view(np.uint64), column(rows, "c")), {}
+def sizes(vocabulary: DataFrame) -> tuple[int, int, int]:
+    """Training symbols, distinct ones, and those that occur once."""
+    return tuple(vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).head())
+
+
+def nodes(scratch: Scratch, table: DataFrame, vocabulary: DataFrame, told: tuple[int, int, int], depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """The tree as a table: depth, key, n, rest of retained contexts, and (rest is null) of their kept counts."""
+    spark, root = scratch.spark, SuffixTree(*told, (np.zeros(0),) * 4)
+    below = vocabulary.where(F.col("c") >= least).select(F.col("h").alias("key"), ((1 - root.unseen) * F.col("c") / max(root.n, 1)).alias("p"))
+    grown = []
     for d in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(tree)
-        rows = count_level(table, shared, d, least).toArrow()
-        shared.unpersist()
-        if not rows.num_rows:
+        bits = spark.sparkContext.broadcast(key_filter(below))
+        rows = scratch.table(count_level(table, bits, d, least), f"counts{d}")
+        bits.unpersist()
+        kept, total = rows.where("key <> 0"), rows.where("key = 0").select("context", "suffix", F.col("n").alias("total"))
+        mass = kept.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+        contexts = total.join(mass, "context").select("context", "suffix", "total", (1 - F.col("mass") / F.col("total")).alias("rest"))
+        p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("p_above")
+        rows = kept.join(contexts.select("context", "total", "rest"), "context").join(below.select(F.col("key").alias("above"), F.col("p").alias("p_above")), "above")
+        rows = scratch.table(rows.select("context", "key", "n", p.alias("p"), "p_above"), f"level{d}")
+        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
+        kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("p_above"))) + left("p") * F.log(left("p") / left("p_above"))
+        contexts = scratch.table(contexts.join(rows.groupBy("context").agg(kl.alias("kl")), "context"), f"contexts{d}")
+        if contexts.isEmpty():
             break
-        tree.add(*(column(rows, c).view(np.uint64) for c in ("context", "suffix", "symbol")), column(rows, "n"), chain)
-    tree.prune()
-    return tree, told["n"], told["v"]
+        grown.append((d, contexts, rows))
+        below = rows.select("key", "p")
+    out, needed = spark.createDataFrame([], "depth int, key bigint, n bigint, rest double"), None
+    for d, contexts, rows in reversed(grown):
+        retained = F.col("kl") >= DIVERGENCE
+        if needed is not None:
+            contexts, retained = contexts.join(needed, "context", "left"), retained | F.col("needed").isNotNull()
+        contexts = scratch.table(contexts.where(retained).select("context", "suffix", "total", "rest"), f"retained{d}")
+        needed = contexts.select(F.col("suffix").alias("context"), F.lit(True).alias("needed")).distinct()
+        out = out.union(contexts.select(F.lit(d), "context", "total", "rest")).union(rows.join(contexts, "context", "left_semi").select(F.lit(d), "key", "n", F.lit(None).cast("double")))
+    return scratch.table(out, "nodes")
+
+
+def grow(spark: SparkSession, table: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, share: float = 0.0) -> tuple[SuffixTree, int, int]:
+    """The whole tree in memory, for small tables, the number of training symbols, and the number of distinct ones. `share` may raise the least count."""
+    told = sizes(vocabulary)
+    rows = nodes(Scratch(spark, "lm"), table, vocabulary, told, depth, max(LEAST, int(np.ceil(share * told[0])))).toArrow()
+    return SuffixTree(*told, tuple(rows.column(c).to_numpy().view(t) for c, t in (("depth", np.int32), ("key", np.uint64), ("n", np.int64), ("rest", np.float64)))), *told[:2]
+
+
+def wanted(table: DataFrame, bits, depth: int) -> DataFrame:
+    """block, key, own of all that a block may need: its words with their counts in the block, contexts and counts that may be in the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _cells(batch):
+                s = Stream(_unpack(row["lengths"].as_py()), _unpack(row["tokens"].as_py()), row["hashes"].as_py())
+                for d in range(depth + 1):
+                    if not d:
+                        key, own = np.frombuffer(row["hashes"].as_py(), np.uint64), _unpack(row["train"].as_py())
+                    else:
+                        live = s.place >= d
+                        key = np.unique(np.concatenate([s.context(d)[live], event(s, d)[live]]))
+                        key = key[may_hold(bits.value, key)]
+                        own = np.zeros(len(key), np.int64)
+                    for i in range(0, len(key), 100_000):
+                        k = key[i : i + 100_000].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["block"].as_py())), pa.array(np.full(len(k), d, np.int32)), pa.array(k), pa.array(own[i : i + 100_000])], ["block", "depth", "key", "own"])
+
+    return table.select("block", "lengths", "tokens", "hashes", "train").mapInArrow(run, "block bigint, depth int, key bigint, own bigint")
 
 
 def score(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,29 +319,36 @@ def score(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str =
     scratch = Scratch(spark, "lm")
     table = scratch.table(blocks(docs, held_out, id_col, text_col), "blocks")
     vocabulary = scratch.table(block_words(table).groupBy("h").agg(F.sum("n").alias("c")), "words")
-    tree, n, v = grow(spark, table, vocabulary)
-    shared = spark.sparkContext.broadcast(tree)
-    told_back = block_words(table).select("block", "number", "h").join(vocabulary.where("c > 0"), "h").groupBy("block").agg(F.collect_list(F.struct("number", "c")).alias("known"))
+    told = n, v, _ = sizes(vocabulary)
+    tree = nodes(scratch, table, vocabulary, told)
+    bits, depth = spark.sparkContext.broadcast(key_filter(tree)), tree.agg(F.coalesce(F.max("depth"), F.lit(0))).head()[0]
+    words = vocabulary.where("c > 0").select(F.lit(0).alias("depth"), F.col("h").alias("key"), F.col("c").alias("n"), F.lit(None).cast("double").alias("rest"))
+    # A word that occurs in no other block need not be told.
+    parts = wanted(table, bits, depth).join(words.union(tree), ["depth", "key"]).where("n > own")
+    parts = parts.groupBy("block").agg(F.collect_list(F.struct("depth", "key", "n", "rest")).alias("part"))
     kind, log_all = docs.schema[id_col].dataType.simpleString(), float(np.log10(n + v + 1))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for row in _cells(batch):
-                lengths, hashes, known = _unpack(row["lengths"].as_py()), row["hashes"].as_py(), row["known"].values
-                s = Stream(lengths, _unpack(row["tokens"].as_py()), hashes)
-                c = np.zeros(len(hashes) // 8, np.int64)
-                if known is not None:
-                    c[known.field("number").to_numpy(zero_copy_only=False)] = known.field("c").to_numpy(zero_copy_only=False)
+                lengths, hashes, part = _unpack(row["lengths"].as_py()), row["hashes"].as_py(), row["part"].values
+                s, c = Stream(lengths, _unpack(row["tokens"].as_py()), hashes), _unpack(row["train"].as_py())
+                rows = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+                if part is not None:
+                    rows = tuple(part.field(f).to_numpy(zero_copy_only=False).view(x.dtype) for f, x in zip(("depth", "key", "n", "rest"), rows))
+                    word = rows[0] == 0
+                    order = np.argsort(rows[1][word])
+                    at = find(rows[1][word][order], np.frombuffer(hashes, np.uint64))
+                    c[at >= 0] = rows[2][word][order][at[at >= 0]]
                 count, begin = c[s.tokens], np.cumsum(lengths) - lengths
                 add = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
                 columns = [
                     row["ids"].values, row["held"].values, pa.array(lengths), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)),
-                    pa.array(add(np.log10(count + 1)) - lengths * log_all), pa.array(add(model.logs(s, count))),
+                    pa.array(add(np.log10(count + 1)) - lengths * log_all), pa.array(add(SuffixTree(*told, rows).logs(s, count))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    # A block may know no word at all.
-    joined = table.select("block", "ids", "held", "lengths", "tokens", "hashes").join(told_back, "block", "left")
-    return joined.select("ids", "held", "lengths", "tokens", "hashes", "known").mapInArrow(add_up, schema)
+    # A block may be told nothing at all.
+    joined = table.select("block", "ids", "held", "lengths", "tokens", "hashes", "train").join(parts, "block", "left")
+    return joined.select("ids", "held", "lengths", "tokens", "hashes", "train", "part").mapInArrow(add_up, schema)

@@ -281,6 +281,27 @@ def test_tree_is_a_distribution(spark):
     assert sum(len(level.contexts) for level in tree.levels) > 5 and (n, v) == (sum(counts.values()), 7)
 
 
+def test_tree_grows_with_the_corpus(spark):
+    """What occurs three times is learnt, however large the rest of the corpus is: 400,000 other words here, of which it is no share of 1e-5."""
+    rng = random.Random(6)
+    texts = [" ".join(f"f{rng.randrange(8)}" for _ in range(4000)) for _ in range(100)] + ["blue moon rises slowly"] * 3
+    got = by_id(suffix_tree.score(spark, spark.createDataFrame([*enumerate(texts), (1000, "blue moon rises slowly"), (1001, "slowly rises moon blue")], "doc_id bigint, text string"), F.col("doc_id") >= 1000))
+    assert got[1000]["score"] > got[1001]["score"] + 8
+
+
+def test_tree_is_independent_of_blocks_and_filters(spark, monkeypatch):
+    """Small blocks and a filter that says yes to nearly everything give the same scores."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["a b c d", "a c b", "x y", "c a b d", f"n{i}"]) for _ in range(30))) for i in range(60)], "doc_id bigint, text string")
+    held = F.col("doc_id") % 5 == 0
+    one = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark, df, held).collect()}
+    tables = suffix_tree.blocks
+    monkeypatch.setattr(suffix_tree, "blocks", lambda *a: tables(*a, size=500))
+    monkeypatch.setattr(suffix_tree, "key_filter", lambda rows, key="key": np.full(1 << suffix_tree.BITS - 6, 2**64 - 1, np.uint64))
+    two = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark, df, held).collect()}
+    assert one == pytest.approx(two, abs=1e-9)
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a/é\r\nx", "<p>one</p>"), (1, None, "<p>one</p>"), (2, "u", None), (4, "u", ""), (5, "u", "é" * 5000), (None, "u", "<p>one</p>"), (5, "u", "é" * 5000)], "page_id bigint, url string, html string").withColumn("d", F.lit("clash"))
     got = warc.round_trip(spark, pages).collect()
