@@ -5,8 +5,9 @@ word's value is 1 where it occurs; a beginning's value is its share of the text'
 sigmoid(w0 + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j): the pair term, computed from sums of factor vectors in linear
 time, says what two terms mean together (an insult and a group's name) that neither means alone.
 
-Learning takes a bounded sample (`SAMPLE` labelled rows); weights exist only for the terms most associated with the label there, a
-quarter as many as rows and `KEEP` at most, so chance words weigh nothing. Scoring takes all words of every whole text. Null,
+Learning takes a bounded sample (`SAMPLE` labelled rows). Terms are hashed into `SPACE` places for words and as many for beginnings,
+and each place that a term of the sample falls into has weights; none is chosen by what it tells alone, since a pair may tell what
+neither part does. Against chance, weights decay the more the fewer rows of the sample have the term (`RARE`). Scoring takes all words of every whole text. Null,
 empty and blank texts have no terms and score sigmoid(w0). Repeated rows repeat their score; only the id and text columns are
 read. Without labelled rows every score is 0. An empty table gives an empty result.
 """
@@ -21,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_bytes
+from .common import text_bytes
 from .langid import Adam, _sigmoid
 from .quality_mil import groups
 from .samples import labelled
 
 SAMPLE = 6000
-#: Terms that get weights at most, and the rows of the sample each has to occur in at least.
-KEEP = 1500
-LEAST = 3
+#: Places of words, and of beginnings.
+SPACE = 1 << 17
+#: Decay is that of a frequent term times 1 + RARE / rows with the term.
+RARE = 30.0
+#: Steps of learning, about.
+STEPS = 240
 FACTORS = 8
 BEGINNINGS = (3, 4, 5, 6, 7)
 WIDTH = 1 + len(BEGINNINGS)
@@ -38,11 +42,11 @@ NOT_WORD = re.compile(r"[\W_]+")
 
 
 def hashed_terms(word: bytes) -> list[int]:
-    """62-bit hashes of a word's term and of its beginnings; the lowest bit tells a beginning. 0 where there is none."""
+    """Places of a word's term and of its beginnings; the lowest bit tells a beginning. 0 where there is none."""
     import xxhash
 
     term = NOT_WORD.sub("", word.decode("utf-8", "replace").lower())
-    h = lambda t: xxhash.xxh3_64_intdigest(t.encode()) >> 3 << 1 | 2
+    h = lambda t: xxhash.xxh3_64_intdigest(t.encode()) % SPACE + 1 << 1
     return [h(term) if term else 0, *(h(term[:k]) | 1 if len(term) >= k else 0 for k in BEGINNINGS)]
 
 
@@ -73,11 +77,10 @@ class Terms(dict):
         hit = some[ids]
         doc, term = np.repeat(doc[hit], WIDTH), self.table[ids[hit]].ravel()
         doc, term = doc[term != 0], term[term != 0]
-        order = np.lexsort((term, doc))
-        doc, term = doc[order], term[order]
-        begin = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(term, prepend=-1) != 0))
-        count = np.diff(np.append(begin, len(doc)))
-        doc, term = doc[begin], term[begin]
+        key = np.sort(doc << 24 | term)  # a place, or a row, and its lowest bit take less than 24 bits
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(np.append(begin, len(key)))
+        doc, term = key[begin] >> 24, key[begin] & (1 << 24) - 1
         return doc, term, np.where(term & 1, np.minimum(1.0, count / np.maximum(n[doc] * DENSE, 1e-9)), 1.0)
 
 
@@ -107,42 +110,33 @@ class FactorizationMachine:
             squares = np.bincount(doc, (v**2).sum(1), n)
         return p["w0"][0] + linear + 0.5 * ((sums**2).sum(1) - squares)
 
-    def gradients(self, doc: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
+    def gradients(self, doc: np.ndarray, row: np.ndarray, x: np.ndarray, y: np.ndarray, decay: np.ndarray) -> dict[str, np.ndarray]:
         p, n = self.p, len(y)
         v = p["v"][row] * x[:, None]
-        sums = np.zeros((n, v.shape[1]))
-        np.add.at(sums, doc, v)
-        d = (_sigmoid(self.logits(doc, row, x, n)) - y) / n
-        g = {"w0": np.array([d.sum()], np.float32), "w": np.bincount(row, d[doc] * x, len(p["w"])).astype(np.float32) + decay * p["w"], "v": decay * p["v"]}
-        np.add.at(g["v"], row, (d[doc, None] * x[:, None] * (sums[doc] - v)).astype(np.float32))
+        sums, begin = np.zeros((n, v.shape[1])), np.flatnonzero(np.diff(doc, prepend=-1))
+        if len(row):
+            sums[doc[begin]] = np.add.reduceat(v, begin, 0)
+        z = p["w0"][0] + np.bincount(doc, p["w"][row] * x, n) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (v**2).sum(1), n))
+        d = (_sigmoid(z) - y) / n
+        by = d[doc] * x
+        g = {"w0": np.array([d.sum()], np.float32), "w": np.bincount(row, by, len(p["w"])).astype(np.float32) + decay * p["w"]}
+        g["v"] = np.stack([np.bincount(row, by * (sums[doc, k] - v[:, k]), len(p["w"])) for k in range(v.shape[1])], 1).astype(np.float32) + decay[:, None] * p["v"]
         g["w"][0] = g["v"][0] = 0
         return g
 
 
-def associated(rows: DataFrame, keep: int, least: int) -> np.ndarray:
-    """The `keep` terms of `rows` (id, y, term, x) whose values differ most between the labels (Welch's t), among those of at least `least` rows."""
-    n = {r["y"]: r["n"] for r in rows.where("term = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sums = [F.sum(F.when(F.col("y") == label, value).otherwise(0.0)).alias(f"{name}{label}") for label in (0, 1) for name, value in (("s", F.col("x")), ("q", F.col("x") * F.col("x")))]
-    stats = rows.where("term <> 0").groupBy("term").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= least)
-    mean, spread = [], []
-    for label in (0, 1):
-        m = max(1, n.get(label, 0))
-        mean.append(F.col(f"s{label}") / m)
-        spread.append((F.col(f"q{label}") / m - mean[label] * mean[label] + 1 / m) / m)
-    t = F.abs(mean[1] - mean[0]) / F.sqrt(spread[0] + spread[1])
-    most = max(1, min(keep, sum(n.values()) // 4))
-    return np.array([r["term"] for r in stats.select("term", F.round(t, 9).alias("t")).orderBy(F.desc("t"), "term").limit(most).collect()], np.int64)
-
-
-def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 0.03, decay: float = 3e-4, seed: int = 5) -> FactorizationMachine:
+def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int | None = None, batch: int = 256, rate: float = 0.03, decay: float = 3e-4, seed: int = 5) -> FactorizationMachine:
     """The machine for documents given as (doc, term, value) sorted by doc; every term gets weights."""
     rng = np.random.default_rng(seed)
     model = FactorizationMachine(np.unique(term), seed=seed)
+    epochs = epochs or int(np.clip(STEPS * batch // max(1, len(y)), 10, 60))
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model.p["w0"][:] = np.log(share / (1 - share))
     row = model.rows(term) >> 1
     doc, row, x = doc[row > 0], row[row > 0], x[row > 0]
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    often = np.maximum(1, np.bincount(row, minlength=len(model.p["w"])))
+    decays = (decay * (1 + RARE / often)).astype(np.float32)
     adam = Adam(model.p, rate)
     for epoch in range(epochs):
         adam.rate = rate * 0.95**epoch
@@ -151,7 +145,7 @@ def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs:
             some = order[i : i + batch]
             at = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
             where = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
-            adam.step(model.gradients(where, row[at], x[at], y[some], decay))
+            adam.step(model.gradients(where, row[at], x[at], y[some], decays))
     return model
 
 
@@ -167,10 +161,10 @@ def terms(model: FactorizationMachine | None = None) -> Terms:
     return _TERMS[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE, keep: int = KEEP, id_col: str = "doc_id", text_col: str = "text", **how) -> FactorizationMachine | None:
+def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **how) -> FactorizationMachine | None:
     """The machine fitted to a bounded sample of the labelled rows that `train` admits.
 
-    Terms of the sample are chosen where they are; the driver gets the chosen ones' values alone.
+    The driver gets the places and values of all terms of the sample, packed by text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,26 +172,19 @@ def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
             texts, ids, y = text_bytes(batch.column(1)), batch.column(0), batch.column(2)
             for a, b in groups(texts):
                 doc, term, x = terms().values(texts[a:b])
-                # A row with term 0 stands for the document itself.
-                doc, term, x = (np.concatenate(v) for v in ((doc, np.arange(b - a)), (term, np.zeros(b - a, np.int64)), (x, np.ones(b - a))))
-                at = pa.array(doc + a)
-                for i in range(0, len(doc), 50_000):
-                    k = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([ids.take(at[k]), y.take(at[k]), pa.array(term[k]), pa.array(x[k])], ["id", "y", "term", "x"])
+                cut = np.searchsorted(doc, np.arange(1, b - a))
+                packed = (pa.array([c.tobytes() for c in np.split(v, cut)], pa.binary()) for v in (term.astype(np.int32), x.astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([ids[a:b], y[a:b], *packed], ["id", "y", "term", "x"])
 
     found = labelled(docs, labels, label, train, sample, id_col, text_col)
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = scratch.table(found.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, term bigint, x double"), "terms")
-    chosen = associated(rows, keep, LEAST)
-    kept = docs.sparkSession.createDataFrame([(int(t),) for t in [0, *chosen]], "term bigint")
-    table = rows.join(F.broadcast(kept), "term").select("id", "y", "term", "x").toArrow().sort_by([("id", "ascending"), ("term", "ascending")])
-    scratch.drop(rows)
+    table = found.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, term binary, x binary").toArrow()
     if not table.num_rows:
         return None
-    term, x, y = (table.column(c).to_numpy() for c in ("term", "x", "y"))
-    whole = term == 0
-    doc = np.cumsum(whole) - 1  # a document's own row comes first, as no hash is negative
-    return fit(doc[~whole], term[~whole], x[~whole], y[whole], **how)
+    table = table.sort_by([("id", "ascending"), ("term", "ascending")])
+    parts = table.column("term").to_pylist()
+    doc = np.repeat(np.arange(len(parts)), [len(t) // 4 for t in parts])
+    term, x = np.frombuffer(b"".join(parts), np.int32), np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32)
+    return fit(doc, term, x, table.column("y").to_numpy(), **how)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

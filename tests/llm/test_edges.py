@@ -249,6 +249,20 @@ def test_pairs_are_learnt():
     assert np.mean((m.logits(doc[row > 0], row[row > 0], np.ones((row > 0).sum()), 300) > 0) == y[900:]) > 0.95
 
 
+def test_pairs_are_learnt_from_texts(spark):
+    """The same through train(), among many chance words that tell more alone."""
+    rng = np.random.default_rng(8)
+    texts, y = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join([*(f"{k}q" for k in rng.integers(100, 1100, 6)), *["alpha"] * int(a), *["omega"] * int(b)]))
+        y.append(int(a == b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = toxicity_fm.train(docs, spark.createDataFrame(list(enumerate(y)), "doc_id bigint, toxic int"), F.col("doc_id") < 1200)
+    got = by_id(toxicity_fm.score(docs.where("doc_id >= 1200"), model))
+    assert np.mean([(r["score"] > 0.5) == y[i] for i, r in got.items()]) > 0.9
+
+
 def test_suffix_tree(spark, odd, none):
     got = suffix_tree.score(spark, odd, remainder(F.col("doc_id"), 7) == 2)
     rows = by_id(got)
