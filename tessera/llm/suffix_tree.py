@@ -2,28 +2,32 @@
 
 Symbols are a text's words (A-Z lower-cased) and one end; an unseen word is one symbol of its own, as in the add-one base. The root's
 distribution is that of single symbols, with the mass that Good and Turing give to unseen ones (words seen once as a share of all).
-A context is the last one to `DEPTH` words. Next-symbol counts c(sx) are kept from `LEAST` occurrences on, whatever the size of the
-corpus, and distributions are smoothed towards those of the suffix s' (s without its oldest word):
-P(x|s) = max(c(sx) - D, 0) / c(s) + B(s) P(x|s'), where B(s) is what the kept, discounted counts leave. A context is
-retained if KL(P(.|s) || P(.|s')) >= `DIVERGENCE`, or if a longer retained one needs it as its suffix. A symbol's probability is that
-of the longest retained suffix of what precedes it.
-
-Counts are of all training documents. The tree grows with the corpus, so it lives in written tables, one row per context and per kept
-count, and is never gathered or broadcast: documents are held as blocks of bounded size (each a row of a table: word numbers of its
-texts, its distinct words), what a block may need of words, contexts and counts is joined with the tables by key, and each block
-gets its own part of the tree back. (A sequence can only reach `LEAST` if its parts do. Bit tables of a fixed size tell
-the blocks which parts may; a false yes costs a row of work and changes no count.)
-
-Words are compared by 64-bit hashes; among n distinct words a pair collides with probability n^2 / 2^65. Null, empty and blank texts
-have the end alone. Repeated rows count and are scored as often as they occur; a null id counts as a training row. Columns other than the
-id and the text are never read; an empty table gives an empty result, and without training rows every symbol is the unseen one, of
-probability 1.
+A context s is the last one to `DEPTH` words; it and its next symbols x are kept from `LEAST` occurrences on, whatever the size of the
+corpus. Distributions are smoothed towards those of the suffix s' (s without its oldest word):
+P(x|s) = max(c(sx) - D, 0) / c(s) + B(s) P(x|s'), where B(s) is what the kept, discounted counts leave. A context is a state of the
+tree if the divergence of its counts from P(.|s') - over its kept symbols, and all others as one - is at least `DIVERGENCE`.
+A symbol's probability is that of the longest state that is a suffix of what precedes it.
+
+Counts are of all training documents and are never gathered or broadcast. Texts are held as blocks (rows of a table bucketed by
+block: word numbers of its texts, its distinct words). Level by level each block asks: for every part of the key space one packed
+list of its distinct contexts and (context, symbol) events with its own counts. A part adds up what the blocks ask and answers every
+block in the order of its list: counts, what is left, and whether the context is a state. So a count travels once per block and
+part, not once per occurrence, and a level costs one exchange of asks and one of answers; blocks stay where they are. Only what
+can matter is asked: a sequence can reach `LEAST` only if the shorter ones in it do. Contexts with a `HOT` share of all symbols
+are dealt by event, so that no part holds one of them whole; their sums (at most 1 / share contexts a level) are told to all blocks.
+
+Words, contexts and events are compared by 64-bit hashes; among n distinct ones a pair collides with probability n^2 / 2^65. A block
+holds whole texts, so memory follows `BLOCK` or the longest text. Null, empty and blank texts have the end alone. Repeated rows count
+and are scored as often as they occur; a null id counts as a training row. Columns other than the id and the text are never read; an
+empty table gives an empty result, and without training rows every symbol is the unseen one, of probability 1.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +43,15 @@ DISCOUNT = 0.75
 #: Stands for the end; no word holds a blank.
 END = b" "
 #: Bytes of text in a block, about.
-BLOCK = 3 << 20
-#: Bits of a filter of keys, as a power of two.
-BITS = 27
+BLOCK = 8 << 20
+#: A context is hot from this many occurrences on, or from this share of all symbols if that is more.
+HOT, HOT_SHARE = 1 << 18, 1 / (1 << 16)
+#: Blocks whose asks one part of the key space gets, as a multiple of the parts; and parts at least.
+BLOCKS_A_PART, PARTS = 8, 64
+#: Steps of a told log2 of a probability.
+GRAIN = 512
 OLDER, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+ANSWER = "block bigint, part int, level int, told binary, key bigint, kept bigint, mass bigint, gain double, above double"
 
 
 class Numbered(dict):
@@ -53,22 +62,221 @@ class Numbered(dict):
         return n
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Small numbers as byte planes, compressed."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes (no more than the largest needs), compressed; any number of arrays."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    out = [np.array([len(arrays), *(len(x) for x in arrays)], "<u8").tobytes()]
+    for x in arrays:
+        planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        out += [bytes([planes]), np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def _unpack(b: bytes) -> np.ndarray:
+def unpack(b: bytes) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    k = int(np.frombuffer(raw, "<u8", 1)[0])
+    out, at = [], 8 * (k + 1)
+    for n in np.frombuffer(raw, "<u8", k, 8).tolist():
+        planes, at = raw[at], at + 1
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :planes] = np.frombuffer(raw, np.uint8, n * planes, at).reshape(planes, n).T
+        out.append(x.view("<u8").ravel())
+        at += n * planes
+    return out
+
+
+def rising(x: np.ndarray) -> np.ndarray:
+    """Differences, modulo 2^64: small where x is sorted."""
+    return np.diff(x, prepend=np.uint64(0))
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a key, by its leading bits, so that sorted keys have rising parts."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def follow(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context * NEXT + symbol)
+
+
+def first_and_number(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts x, where each distinct value begins in it, and the number of every element's value."""
+    order = np.argsort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    s = x[order]
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
+def added(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, begin) if len(begin) else x[:0]
+
+
+@dataclass(frozen=True)
+class Told:
+    """What all blocks know of the training texts: symbols, distinct ones, those that occur once, parts, and the sums of hot contexts by level."""
+
+    n: int = 0
+    distinct: int = 0
+    once: int = 0
+    parts: int = 1
+    hot: int = HOT
+    sums: tuple = ()
+
+    @property
+    def unseen(self) -> float:
+        return (self.once + 1) / (self.n + 2) if self.distinct else 1.0
+
+
+def divergence(total: np.ndarray, kept: np.ndarray, mass: np.ndarray, gain: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """KL of a context's counts from the shorter context's probabilities: sums over the kept symbols (their number, counts, c ln(c / P'), P'), the others as one."""
+    t = total.astype(np.float64)
+    left, left_above = np.maximum(1 - mass / t, 0.0), np.maximum(1 - above, 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(left > 0, left * np.log(left / left_above), 0.0)
+    return np.where(kept > 0, gain / t - mass / t * np.log(t) + rest, 0.0)
+
+
+class Level:
+    """A block's distinct contexts and events of one depth, in the order in which they are asked: by part, context, event."""
+
+    def __init__(self, live: np.ndarray, key: np.ndarray, total: np.ndarray, asked: np.ndarray, walk: Walk):
+        """Places that are live, keys and totals of their contexts, and which of the places ask for their event."""
+        parts, hot = walk.told.parts, walk.told.hot
+        self.live = live
+        order, begin, self.context = first_and_number(key)
+        first = order[begin]
+        self.keys, self.total = key[first], total[first]
+        self.places = np.flatnonzero(asked)
+        symbol = walk.tokens[live[self.places]]
+        order, begin, self.event = first_and_number(self.context[self.places] << 32 | symbol)
+        one = order[begin]
+        of, symbol = self.context[self.places[one]], symbol[one]
+        self.of = of
+        events = follow(self.keys[of], walk.hashes[symbol])
+        n = added(walk.train[live[self.places]][order].astype(np.int64), begin)
+        p = walk.p[live[self.places[one]]]
+        near = np.minimum(np.round(-np.log2(p) * GRAIN), 65535).astype(np.uint64)
+        # Entries: a context of its own part, or a hot context in every part that gets one of its events.
+        is_hot = self.total >= hot
+        entry_context, entry_part, event_entry = np.arange(len(self.keys)), part_of(self.keys, parts), of
+        if is_hot.any():
+            h = np.flatnonzero(is_hot[of])
+            pairs, which = np.unique(part_of(events[h], parts) * len(self.keys) + of[h], return_inverse=True)
+            plain = np.flatnonzero(~is_hot)
+            place = np.zeros(len(self.keys), np.int64)
+            place[plain] = np.arange(len(plain))
+            entry_context = np.concatenate([plain, pairs % max(1, len(self.keys))])
+            entry_part = np.concatenate([entry_part[plain], pairs // max(1, len(self.keys))])
+            event_entry = place[of]
+            event_entry[h] = len(plain) + which
+        # Sorted keys have rising parts, so without hot contexts nothing moves.
+        by_part = np.argsort(entry_part, kind="stable")
+        rank = np.empty(len(by_part), np.int64)
+        rank[by_part] = np.arange(len(by_part))
+        self.by_event = np.argsort(rank[event_entry], kind="stable")
+        self.entry = entry_context[by_part]
+        size = np.bincount(event_entry, minlength=len(by_part))[by_part]
+        at = np.searchsorted(entry_part[by_part], np.arange(parts + 1))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.slices = [(r, int(at[r]), int(at[r + 1]), int(ends[at[r]]), int(ends[at[r + 1]])) for r in range(parts) if at[r] < at[r + 1]]
+        self.size, self.events, self.n, self.near = size, events[self.by_event], n[self.by_event], near[self.by_event]
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        keys, total = self.keys[self.entry], self.total[self.entry]
+        for r, a, b, c, d in self.slices:
+            yield r, pack(rising(keys[a:b]), total[a:b], self.size[a:b], self.events[c:d], self.n[c:d], self.near[c:d])
+
+    def hear(self, told: dict[int, bytes], sums: tuple) -> tuple[np.ndarray, ...]:
+        """By context: kept symbols, their mass, whether it is a state. By event: the count."""
+        kept, mass, state, n = (np.zeros(len(self.keys), np.int64) for _ in range(4))
+        n = np.zeros(len(self.of), np.int64)
+        for r, a, b, c, d in self.slices:
+            k, m, count = (x.astype(np.int64) for x in unpack(told[r]))
+            e = self.entry[a:b]
+            kept[e], state[e], mass[e] = k >> 1, k & 1, m
+            n[self.by_event[c:d]] = count
+        if len(sums):
+            i = np.minimum(np.searchsorted(sums[0], self.keys), len(sums[0]) - 1)
+            hot = np.flatnonzero(sums[0][i] == self.keys)
+            kept[hot], mass[hot] = sums[1][i[hot]], sums[2][i[hot]]
+            state[hot] = divergence(self.total[hot], *(s[i[hot]] for s in sums[1:])) >= DIVERGENCE
+        return kept, mass, state.astype(bool), n
+
+
+class Walk:
+    """A block on its way down the levels; `heard`: by level, the answer of each part."""
+
+    def __init__(self, row: dict, told: Told):
+        self.told = told
+        self.lengths, self.tokens, self.own = (x.astype(np.int64) for x in unpack(row["tokens"]))
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        self.train = np.repeat(~np.array(row["held"], bool), self.lengths)
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.order = np.argsort(self.hashes)
+        at = np.searchsorted(part_of(self.hashes[self.order], told.parts), np.arange(told.parts + 1)).tolist()
+        self.slices = [(r, at[r], at[r + 1]) for r in range(told.parts) if at[r] < at[r + 1]]
+
+    def ask_words(self) -> Iterator[tuple[int, bytes]]:
+        h, own = self.hashes[self.order], self.own[self.order]
+        for r, a, b in self.slices:
+            yield r, pack(rising(h[a:b]), own[a:b])
+
+    def begin(self, told: dict[int, bytes]) -> None:
+        count = np.zeros(len(self.hashes), np.int64)
+        for r, a, b in self.slices:
+            count[self.order[a:b]] = unpack(told[r])[0]
+        self.count, unseen = count[self.tokens], self.told.unseen
+        self.p = np.where(self.count > 0, (1 - unseen) * self.count / max(self.told.n, 1), unseen)
+        self.best, self.last = self.p.copy(), self.count  # last: the count of the event before, at each place
+
+    def level(self, d: int, before: Level | None, key: np.ndarray | None, least: int) -> Level:
+        """The level of depth d; `key` is the previous level's context key by live place."""
+        if before is None:
+            live = np.flatnonzero((self.place >= 1) & (np.concatenate([[0], self.last[:-1]]) >= least))
+            context = self.hashes[self.tokens[live - 1]]
+        else:
+            known = np.zeros(len(self.tokens), np.uint64)
+            known[before.live] = key
+            live = np.flatnonzero((self.place >= d) & (known != 0) & (np.concatenate([[0], self.last[:-1]]) >= least))
+            context = mix(known[live] * OLDER + self.hashes[self.tokens[live - d]])
+        return Level(live, context, self.last[live - 1], self.last[live] >= least, self)
+
+    def take(self, level: Level, heard: dict[int, bytes], sums: tuple) -> np.ndarray:
+        """Go down a level: probabilities of its places; returns the context key of each live place, 0 where nothing follows."""
+        kept, mass, state, n = level.hear(heard, sums)
+        c = level.context
+        at = level.live
+        count = np.zeros(len(at), np.int64)
+        count[level.places] = n[level.event]
+        total = level.total.astype(np.float64)
+        rest = 1 - (mass - DISCOUNT * kept) / total
+        grown = kept[c] > 0
+        p = np.maximum(count - DISCOUNT, 0.0) / total[c] + rest[c] * self.p[at]
+        self.p[at] = np.where(grown, p, self.p[at])
+        chosen = at[grown & state[c]]
+        self.best[chosen] = self.p[chosen]
+        self.last = np.zeros(len(self.tokens), np.int64)
+        self.last[at] = count
+        return np.where(grown, level.keys[c], np.uint64(0))
+
+    def down(self, heard: dict[int, dict[int, bytes]], levels: int, least: int) -> tuple[Level | None, np.ndarray | None]:
+        self.begin(heard[0])
+        level = key = None
+        for d in range(1, levels + 1):
+            level = self.level(d, level, key, least)
+            key = self.take(level, heard.get(d, {}), self.told.sums[d - 1])
+        return level, key
 
 
 def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, size: int = BLOCK) -> DataFrame:
-    """One row per block: number, ids, whether held out, symbols per text, symbol numbers, hashes of distinct symbols, their training counts."""
+    """One row per block: number, ids, whether held out, (symbols per text, symbol numbers, training counts of symbols), hashes of distinct symbols."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +287,12 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, size:
 
         def row(ids: list, held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
             local = Numbered()
-            split = [[*t.lower().split(), END] for t in texts]
-            lengths = np.array([len(s) for s in split], np.int64)
-            tokens = np.fromiter((local[w] for s in split for w in s), np.int64, int(lengths.sum()))
+            tokens, lengths = [], []
+            for t in texts:
+                s = [*t.lower().split(), END]
+                lengths.append(len(s))
+                tokens.append(np.fromiter(map(local.__getitem__, s), np.int64, len(s)))
+            tokens, lengths = np.concatenate(tokens), np.array(lengths, np.int64)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
             # Frequent words get small numbers, which compress well.
             order = np.argsort(-np.bincount(tokens, minlength=len(local)), kind="stable")
@@ -89,8 +300,8 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, size:
             rank[order] = np.arange(len(order))
             tokens = rank[tokens]
             train = np.bincount(tokens[np.repeat(~np.array(held, bool), lengths)], minlength=len(order))
-            columns = [pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in (_pack(lengths), _pack(tokens), hashes[order].tobytes(), _pack(train)))]
-            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "lengths", "tokens", "hashes", "train"])
+            columns = [pa.array([number]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([pack(lengths, tokens, train)], pa.binary()), pa.array([hashes[order].tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "ids", "held", "tokens", "hashes"])
 
         ids, held, texts, have, id_type = [], [], [], 0, None
         for batch in batches:
@@ -106,249 +317,154 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str, text_col: str, size:
         if ids:
             yield row(ids, held, texts)
 
-    schema = f"block bigint, ids array<{kind}>, held array<boolean>, lengths binary, tokens binary, hashes binary, train binary"
-    return docs.select(F.col(id_col), held_out, F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), held_out, F.col(text_col)).mapInArrow(run, f"block bigint, ids array<{kind}>, held array<boolean>, tokens binary, hashes binary")
 
 
-def block_words(table: DataFrame) -> DataFrame:
-    """block, number, hash, training count of each distinct symbol of each block."""
+def bucketed(scratch: Scratch, rows: DataFrame, tag: str) -> DataFrame:
+    """`rows` as a table in the shared folder whose buckets are those of a shuffle by block, so that it joins what is dealt by block without moving."""
+    spark, name = scratch.spark, f"tessera_{tag}_{uuid.uuid4().hex[:12]}"
+    by_block = rows.write.option("path", f"{scratch.root}/{name}").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    scratch.written(lambda: by_block.saveAsTable(name))
+    return spark.table(name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, hashes, train in zip(*(c.to_pylist() for c in batch.columns)):
-                h, n = np.frombuffer(hashes, np.int64), _unpack(train)
-                for i in range(0, len(h), 100_000):
-                    m = len(h[i : i + 100_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.array(h[i : i + m]), pa.array(n[i : i + m])], ["block", "number", "h", "n"])
-
-    return table.select("block", "hashes", "train").mapInArrow(run, "block bigint, number int, h bigint, n bigint")
-
-
-@dataclass
-class Level:
-    """Contexts of one depth and the counts of (context, symbol) kept for them; keys are sorted."""
-
-    contexts: np.ndarray
-    total: np.ndarray
-    rest: np.ndarray
-    keys: np.ndarray
-    count: np.ndarray
 
-
-def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of x in a sorted table, -1 where it is not."""
-    if not len(table):
-        return np.full(len(x), -1)
-    i = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[i] == x, i, -1)
-
-
-def follow(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context * NEXT + symbol)
+ASK = "part int, block bigint, ask binary"
 
 
-class Stream:
-    """The symbols of a block in a row, with keys of the contexts before each."""
-
-    def __init__(self, lengths: np.ndarray, tokens: np.ndarray, hashes: bytes):
-        self.lengths, self.tokens = lengths, tokens
-        self.symbol = np.frombuffer(hashes, np.uint64)[tokens]
-        self.place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.keys = [np.zeros(len(tokens), np.uint64)]
-
-    def context(self, d: int) -> np.ndarray:
-        """Key of the last d symbols before each place; only places >= d have one."""
-        while len(self.keys) <= d:
-            k = len(self.keys)
-            older = np.concatenate([np.zeros(k, np.uint64), self.symbol[:-k]]) if k < len(self.symbol) else np.zeros(len(self.symbol), np.uint64)
-            self.keys.append(mix(self.keys[-1] * OLDER + older))
-        return self.keys[d]
-
-
-class SuffixTree:
-    """A tree, or the part of one that a block needs, from rows (depth, key, n, rest); rest is NaN for the counts of (context, symbol)."""
-
-    def __init__(self, n: int, distinct: int, once: int, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
-        self.n, self.unseen, self.levels = n, (once + 1) / (n + 2) if distinct else 1.0, []
-        depth, key, count, rest = rows
-        for d in range(1, int(depth.max(initial=0)) + 1):
-            k, c, r = (x[depth == d] for x in (key, count, rest))
-            order = np.argsort(k)
-            k, c, r = k[order], c[order], r[order]
-            own = np.isnan(r)
-            self.levels.append(Level(k[~own], c[~own].astype(np.float64), r[~own], k[own], c[own]))
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return np.where(count > 0, (1 - self.unseen) * count / max(self.n, 1), self.unseen)
-
-    def logs(self, s: Stream, count: np.ndarray) -> np.ndarray:
-        """log10 P of every symbol; `count`: training counts of the symbols."""
-        p, live = self.root(count), np.arange(len(s.tokens))
-        for d, level in enumerate(self.levels, 1):
-            live = live[s.place[live] >= d]
-            key = s.context(d)[live]
-            c = find(level.contexts, key)
-            live, key, c = live[c >= 0], key[c >= 0], c[c >= 0]
-            e = find(level.keys, follow(key, s.symbol[live]))
-            own = np.where(e >= 0, level.count[e] - DISCOUNT, 0.0) if len(level.keys) else np.zeros(len(e))
-            p[live] = own / level.total[c] + level.rest[c] * p[live]
-        return np.log10(p)
-
-
-def _cells(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):
-        yield {name: batch.column(name)[k] for name in batch.schema.names}
-
-
-def key_filter(rows: DataFrame, key: str = "key") -> np.ndarray:
-    """2 ** BITS bits; that of a key's leading bits is set if the key is among the rows."""
-    bit = rows.select(F.shiftrightunsigned(key, 64 - BITS).alias("p"))
-    found = bit.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
-    out = np.zeros(1 << BITS - 6, np.uint64)
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+def _heard(answers: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for part, level, told in zip(*(answers.column(c).to_pylist() for c in ("part", "level", "told"))):
+        out.setdefault(level, {})[part] = told
     return out
 
 
-def may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    p = key >> np.uint64(64 - BITS)
-    return (bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+def _row(table: pa.Table) -> dict:
+    return {c: table.column(c)[0].as_py() for c in ("block", "held", "tokens", "hashes")}
 
 
-def event(s: Stream, d: int) -> np.ndarray:
-    """Key of the count of each place's symbol after its d last words; the words' own hashes at depth 0."""
-    return follow(s.context(d), s.symbol) if d else s.symbol
-
-
-def shifted(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([[False], x[:-1]])
-
-
-def count_level(table: DataFrame, bits, d: int, least: int) -> DataFrame:
-    """context, suffix, key, above (the key without the oldest word), n of depth d for training texts; rows with key 0 are the contexts' totals."""
-
+def asked_words(table: DataFrame, told: Told) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _cells(batch):
-                lengths = _unpack(row["lengths"].as_py())
-                s = Stream(lengths, _unpack(row["tokens"].as_py()), row["hashes"].as_py())
-                train = np.repeat(~row["held"].values.to_numpy(zero_copy_only=False).astype(bool), lengths)
-                above, key, none = event(s, d - 1), event(s, d), np.zeros(len(s.tokens), np.uint64)
-                often = may_hold(bits.value, above) & (s.place >= d - 1)
-                before = shifted(often) & (s.place >= d) & train
-                context, suffix = s.context(d), s.context(d - 1)
-                for at, by, columns in ((np.flatnonzero(before & often), key, (context, suffix, key, above)), (np.flatnonzero(before), context, (context, suffix, none, none))):
-                    _, first, n = np.unique(by[at], return_index=True, return_counts=True)
-                    at = at[first]
-                    for i in range(0, len(at), 100_000):
-                        j = at[i : i + 100_000]
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[j].view(np.int64)) for x in columns), pa.array(n[i : i + 100_000])], ["context", "suffix", "key", "above", "n"])
-
-    rows = table.select("held", "lengths", "tokens", "hashes").mapInArrow(run, "context bigint, suffix bigint, key bigint, above bigint, n bigint")
-    return rows.groupBy("context", "suffix", "key", "above").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-
-
-def sizes(vocabulary: DataFrame) -> tuple[int, int, int]:
-    """Training symbols, distinct ones, and those that occur once."""
-    return tuple(vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).head())
-
-
-def nodes(scratch: Scratch, table: DataFrame, vocabulary: DataFrame, told: tuple[int, int, int], depth: int = DEPTH, least: int = LEAST) -> DataFrame:
-    """The tree as a table: depth, key, n, rest of retained contexts, and (rest is null) of their kept counts."""
-    spark, root = scratch.spark, SuffixTree(*told, (np.zeros(0),) * 4)
-    below = vocabulary.where(F.col("c") >= least).select(F.col("h").alias("key"), ((1 - root.unseen) * F.col("c") / max(root.n, 1)).alias("p"))
-    grown = []
-    for d in range(1, depth + 1):
-        bits = spark.sparkContext.broadcast(key_filter(below))
-        rows = scratch.table(count_level(table, bits, d, least), f"counts{d}")
-        bits.unpersist()
-        kept, total = rows.where("key <> 0"), rows.where("key = 0").select("context", "suffix", F.col("n").alias("total"))
-        mass = kept.groupBy("context").agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-        contexts = total.join(mass, "context").select("context", "suffix", "total", (1 - F.col("mass") / F.col("total")).alias("rest"))
-        p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("rest") * F.col("p_above")
-        rows = kept.join(contexts.select("context", "total", "rest"), "context").join(below.select(F.col("key").alias("above"), F.col("p").alias("p_above")), "above")
-        rows = scratch.table(rows.select("context", "key", "n", p.alias("p"), "p_above"), f"level{d}")
-        left = lambda c: F.greatest(1 - F.sum(c), F.lit(1e-12))
-        kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("p_above"))) + left("p") * F.log(left("p") / left("p_above"))
-        contexts = scratch.table(contexts.join(rows.groupBy("context").agg(kl.alias("kl")), "context"), f"contexts{d}")
-        if contexts.isEmpty():
-            break
-        grown.append((d, contexts, rows))
-        below = rows.select("key", "p")
-    out, needed = spark.createDataFrame([], "depth int, key bigint, n bigint, rest double"), None
-    for d, contexts, rows in reversed(grown):
-        retained = F.col("kl") >= DIVERGENCE
-        if needed is not None:
-            contexts, retained = contexts.join(needed, "context", "left"), retained | F.col("needed").isNotNull()
-        contexts = scratch.table(contexts.where(retained).select("context", "suffix", "total", "rest"), f"retained{d}")
-        needed = contexts.select(F.col("suffix").alias("context"), F.lit(True).alias("needed")).distinct()
-        out = out.union(contexts.select(F.lit(d), "context", "total", "rest")).union(rows.join(contexts, "context", "left_semi").select(F.lit(d), "key", "n", F.lit(None).cast("double")))
-    return scratch.table(out, "nodes")
-
-
-def grow(spark: SparkSession, table: DataFrame, vocabulary: DataFrame, depth: int = DEPTH, share: float = 0.0) -> tuple[SuffixTree, int, int]:
-    """The whole tree in memory, for small tables, the number of training symbols, and the number of distinct ones. `share` may raise the least count."""
-    told = sizes(vocabulary)
-    rows = nodes(Scratch(spark, "lm"), table, vocabulary, told, depth, max(LEAST, int(np.ceil(share * told[0])))).toArrow()
-    return SuffixTree(*told, tuple(rows.column(c).to_numpy().view(t) for c, t in (("depth", np.int32), ("key", np.uint64), ("n", np.int64), ("rest", np.float64)))), *told[:2]
-
-
-def wanted(table: DataFrame, bits, depth: int) -> DataFrame:
-    """block, key, own of all that a block may need: its words with their counts in the block, contexts and counts that may be in the tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _cells(batch):
-                s = Stream(_unpack(row["lengths"].as_py()), _unpack(row["tokens"].as_py()), row["hashes"].as_py())
-                for d in range(depth + 1):
-                    if not d:
-                        key, own = np.frombuffer(row["hashes"].as_py(), np.uint64), _unpack(row["train"].as_py())
-                    else:
-                        live = s.place >= d
-                        key = np.unique(np.concatenate([s.context(d)[live], event(s, d)[live]]))
-                        key = key[may_hold(bits.value, key)]
-                        own = np.zeros(len(key), np.int64)
-                    for i in range(0, len(key), 100_000):
-                        k = key[i : i + 100_000].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), row["block"].as_py())), pa.array(np.full(len(k), d, np.int32)), pa.array(k), pa.array(own[i : i + 100_000])], ["block", "depth", "key", "own"])
-
-    return table.select("block", "lengths", "tokens", "hashes", "train").mapInArrow(run, "block bigint, depth int, key bigint, own bigint")
-
-
-def score(spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for block, held, tokens, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                asks = list(Walk({"held": held, "tokens": tokens, "hashes": hashes}, told).ask_words())
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in asks], pa.int32()), pa.array([block] * len(asks), pa.int64()), pa.array([b for _, b in asks], pa.binary())], ["part", "block", "ask"])
+
+    return table.select("block", "held", "tokens", "hashes").mapInArrow(run, ASK)
+
+
+def _answers(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    names = ("block", "part", "level", "told", "key", "kept", "mass", "gain", "above")
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+
+def told_words(asks: DataFrame) -> DataFrame:
+    """Answers of level 0: the training count of every word asked; and of each part a row of sums (block -1): distinct words, occurrences, words that occur once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [unpack(b) for b in table.column("ask").to_pylist()]
+        keys, own = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists]), np.concatenate([x[1] for x in lists]).astype(np.int64)
+        order, begin, number = first_and_number(keys)
+        count = added(own[order], begin)
+        part, rows, at = table.column("part")[0].as_py(), [], 0
+        for block, x in zip(table.column("block").to_pylist(), lists):
+            rows.append((block, part, 0, pack(count[number[at : at + len(x[0])]]), None, None, None, None, None))
+            at += len(x[0])
+        rows.append((-1, part, 0, None, None, int((count > 0).sum()), int(count.sum()), float((count == 1).sum()), None))
+        return _answers(rows)
+
+    return asks.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def asked(table: DataFrame, answers: DataFrame, told: Told, d: int, least: int) -> DataFrame:
+    """What the blocks ask at depth d, after the answers of all levels before."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asks = []
+        if left.num_rows:
+            walk = Walk(_row(left), told)
+            level, key = walk.down(_heard(right), d - 1, least)
+            asks = list(walk.level(d, level, key, least).asks())
+        block = left.column("block")[0].as_py() if left.num_rows else 0
+        return pa.Table.from_arrays([pa.array([r for r, _ in asks], pa.int32()), pa.array([block] * len(asks), pa.int64()), pa.array([b for _, b in asks], pa.binary())], ["part", "block", "ask"])
+
+    return table.select("block", "held", "tokens", "hashes").groupBy("block").cogroup(answers.select("block", "part", "level", "told").groupBy("block")).applyInArrow(run, ASK)
+
+
+def told_level(asks: DataFrame, d: int, told: Told, least: int) -> DataFrame:
+    """Answers of depth d: by context the kept symbols (twice, plus 1 for a state) and their mass, by event the count (0 if not kept). Rows of block -1: this part's sums of a hot context."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = [unpack(b) for b in table.column("ask").to_pylist()]
+        keys, total, size, events, n, near = (np.concatenate([x[k] if k else np.cumsum(x[0], dtype=np.uint64) for x in lists]) for k in range(6))
+        _, first, context = first_and_number(keys)
+        unique = np.zeros(len(first), np.uint64)
+        unique[context] = keys
+        totals = np.zeros(len(first), np.int64)
+        totals[context] = total
+        of = np.repeat(context, size.astype(np.int64))
+        order, begin, event = first_and_number(events)
+        count = added(n[order].astype(np.int64), begin)
+        count[count < least] = 0
+        one = order[begin]
+        above, c = np.exp2(-near[one].astype(np.float64) / GRAIN), of[one]
+        keep = count > 0
+        add = lambda w: np.bincount(c[keep], w[keep], len(first))
+        kept, mass = add(np.ones(len(one))).astype(np.int64), add(count.astype(np.float64)).astype(np.int64)
+        gain, near_all = add(count * np.log(np.maximum(count, 1) / above)), add(above)
+        state = divergence(totals, kept, mass, gain, near_all) >= DIVERGENCE
+        part, rows, a, e = table.column("part")[0].as_py(), [], 0, 0
+        for block, x in zip(table.column("block").to_pylist(), lists):
+            i, j = context[a : a + len(x[0])], event[e : e + len(x[3])]
+            rows.append((block, part, d, pack(kept[i] << 1 | state[i], mass[i], count[j]), None, None, None, None, None))
+            a, e = a + len(x[0]), e + len(x[3])
+        for i in np.flatnonzero((totals >= told.hot) & (kept > 0)):
+            rows.append((-1, part, d, None, int(unique[i].astype(np.int64)), int(kept[i]), int(mass[i]), float(gain[i]), float(near_all[i])))
+        return _answers(rows)
+
+    return asks.groupBy("part").applyInArrow(run, ANSWER)
+
+
+def hot_sums(answers: DataFrame) -> tuple:
+    """Sums of the hot contexts of a level, sorted by key; there are at most 1 / HOT_SHARE."""
+    sums = answers.where("block = -1").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("kept", "mass", "gain", "above"))).toArrow()
+    if not sums.num_rows:
+        return ()
+    key = sums.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return (key[order], *(sums.column(c).to_numpy()[order] for c in ("kept", "mass", "gain", "above")))
+
+
+def score(
+    spark: SparkSession, docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, block: int = BLOCK, hot: int = HOT
+) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score: learnt from rows that are not held out, for all rows."""
     scratch = Scratch(spark, "lm")
-    table = scratch.table(blocks(docs, held_out, id_col, text_col), "blocks")
-    vocabulary = scratch.table(block_words(table).groupBy("h").agg(F.sum("n").alias("c")), "words")
-    told = n, v, _ = sizes(vocabulary)
-    tree = nodes(scratch, table, vocabulary, told)
-    bits, depth = spark.sparkContext.broadcast(key_filter(tree)), tree.agg(F.coalesce(F.max("depth"), F.lit(0))).head()[0]
-    words = vocabulary.where("c > 0").select(F.lit(0).alias("depth"), F.col("h").alias("key"), F.col("c").alias("n"), F.lit(None).cast("double").alias("rest"))
-    # A word that occurs in no other block need not be told.
-    parts = wanted(table, bits, depth).join(words.union(tree), ["depth", "key"]).where("n > own")
-    parts = parts.groupBy("block").agg(F.collect_list(F.struct("depth", "key", "n", "rest")).alias("part"))
-    kind, log_all = docs.schema[id_col].dataType.simpleString(), float(np.log10(n + v + 1))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _cells(batch):
-                lengths, hashes, part = _unpack(row["lengths"].as_py()), row["hashes"].as_py(), row["part"].values
-                s, c = Stream(lengths, _unpack(row["tokens"].as_py()), hashes), _unpack(row["train"].as_py())
-                rows = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-                if part is not None:
-                    rows = tuple(part.field(f).to_numpy(zero_copy_only=False).view(x.dtype) for f, x in zip(("depth", "key", "n", "rest"), rows))
-                    word = rows[0] == 0
-                    order = np.argsort(rows[1][word])
-                    at = find(rows[1][word][order], np.frombuffer(hashes, np.uint64))
-                    c[at >= 0] = rows[2][word][order][at[at >= 0]]
-                count, begin = c[s.tokens], np.cumsum(lengths) - lengths
-                add = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
-                columns = [
-                    row["ids"].values, row["held"].values, pa.array(lengths), pa.array(add((count > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)),
-                    pa.array(add(np.log10(count + 1)) - lengths * log_all), pa.array(add(SuffixTree(*told, rows).logs(s, count))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    table = bucketed(scratch, blocks(docs, held_out, id_col, text_col, block), "blocks")
+    told = Told(parts=max(PARTS, table.count() // BLOCKS_A_PART))
+    answers = [scratch.table(told_words(asked_words(table, told)), "words")]
+    distinct, n, once = answers[0].where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("kept", "mass", "gain"))).head()
+    told = Told(n, distinct, once, told.parts, max(hot, int(n * HOT_SHARE)))
+    every = lambda: reduce(DataFrame.union, answers).where("block >= 0")
+    for d in range(1, depth + 1):
+        asks = asked(table, every(), told, d, least)
+        answers.append(scratch.table(told_level(asks, d, told, least), f"level{d}"))
+        told = Told(n, distinct, once, told.parts, told.hot, (*told.sums, hot_sums(answers[-1])))
+    kind, log_all = docs.schema[id_col].dataType.simpleString(), float(np.log10(n + distinct + 1))
+
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.array([], left.schema.field("ids").type.value_type), pa.array([], pa.bool_()), *(pa.array([], pa.int64()) for _ in range(3)), *(pa.array([], pa.float64()) for _ in range(2))], names)
+        walk = Walk(_row(left), told)
+        walk.down(_heard(right), depth, least)
+        begin, lengths = np.cumsum(walk.lengths) - walk.lengths, walk.lengths
+        add = lambda x: pa.array(np.add.reduceat(x, begin))
+        base = np.add.reduceat(np.log10(walk.count + 1), begin) - lengths * log_all
+        columns = [left.column("ids").combine_chunks().flatten(), left.column("held").combine_chunks().flatten(), pa.array(lengths), add((walk.count > 0).astype(np.int64)), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), add(np.log10(walk.best))]
+        return pa.Table.from_arrays(columns, names)
 
     schema = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    # A block may be told nothing at all.
-    joined = table.select("block", "ids", "held", "lengths", "tokens", "hashes", "train").join(parts, "block", "left")
-    return joined.select("ids", "held", "lengths", "tokens", "hashes", "train", "part").mapInArrow(add_up, schema)
+    joined = table.groupBy("block").cogroup(every().select("block", "part", "level", "told").groupBy("block"))
+    return joined.applyInArrow(add_up, schema)

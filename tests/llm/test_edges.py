@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, near_dup, packing, quality_mil, quality_rules, suffix_tree, toxicity_fm, warc
-from tessera.llm.common import Scratch, remainder
+from tessera.llm import bpe, fingerprints, langid, near_dup, packing, quality_mil, quality_rules, toxicity_fm, warc
+from tessera.llm.common import Scratch
 from tessera.llm.queries import vocabulary
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -263,59 +263,6 @@ def test_pairs_are_learnt_from_texts(spark):
     assert np.mean([(r["score"] > 0.5) == y[i] for i, r in got.items()]) > 0.9
 
 
-def test_suffix_tree(spark, odd, none):
-    got = suffix_tree.score(spark, odd, remainder(F.col("doc_id"), 7) == 2)
-    rows = by_id(got)
-    assert got.count() == len(ROWS) and rows[2]["n_tokens"] == 1 and rows[5]["n_tokens"] == 30_001
-    assert suffix_tree.score(spark, none, F.lit(False)).count() == 0
-    unseen = suffix_tree.score(spark, odd, F.lit(True)).collect()
-    assert {r["train_tokens"] for r in unseen} == {0} and all(abs(r["score"]) < 1e-9 and r["base_score"] == 0 for r in unseen)
-
-
-def test_tree_is_a_distribution(spark):
-    """Over all symbols and the unseen one, every state's probabilities add up to one; contexts predict what followed them."""
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice(["a b c d", "a c b", "x y", "c a b d"]) for _ in range(40)) for _ in range(30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    table = Scratch(spark, "t").table(suffix_tree.blocks(df, F.lit(False), "doc_id", "text"), "b")
-    vocabulary = suffix_tree.block_words(table).groupBy("h").agg(F.sum("n").alias("c"))
-    tree, n, v = suffix_tree.grow(spark, table, vocabulary, share=1e-9)
-    import xxhash
-
-    counts = {r["h"] % 2**64: r["c"] for r in vocabulary.collect()}
-    h = lambda w: xxhash.xxh3_64_intdigest(w)
-    symbols = [b"a", b"b", b"c", b"d", b"x", b"y", suffix_tree.END, b"unseen"]
-    for before in ([], [b"a"], [b"a", b"b"], [b"x", b"y", b"c"]):
-        total = 0.0
-        for s in symbols:
-            words = list(dict.fromkeys([*before, s]))
-            stream = suffix_tree.Stream(np.array([len(before) + 1]), np.array([words.index(w) for w in [*before, s]]), np.array([h(w) for w in words], np.uint64).tobytes())
-            total += 10 ** tree.logs(stream, np.array([counts.get(h(w), 0) for w in [*before, s]]))[-1]
-        assert total == pytest.approx(1, abs=1e-9), before
-    assert sum(len(level.contexts) for level in tree.levels) > 5 and (n, v) == (sum(counts.values()), 7)
-
-
-def test_tree_grows_with_the_corpus(spark):
-    """What occurs three times is learnt, however large the rest of the corpus is: 400,000 other words here, of which it is no share of 1e-5."""
-    rng = random.Random(6)
-    texts = [" ".join(f"f{rng.randrange(8)}" for _ in range(4000)) for _ in range(100)] + ["blue moon rises slowly"] * 3
-    got = by_id(suffix_tree.score(spark, spark.createDataFrame([*enumerate(texts), (1000, "blue moon rises slowly"), (1001, "slowly rises moon blue")], "doc_id bigint, text string"), F.col("doc_id") >= 1000))
-    assert got[1000]["score"] > got[1001]["score"] + 8
-
-
-def test_tree_is_independent_of_blocks_and_filters(spark, monkeypatch):
-    """Small blocks and a filter that says yes to nearly everything give the same scores."""
-    rng = random.Random(2)
-    df = spark.createDataFrame([(i, " ".join(rng.choice(["a b c d", "a c b", "x y", "c a b d", f"n{i}"]) for _ in range(30))) for i in range(60)], "doc_id bigint, text string")
-    held = F.col("doc_id") % 5 == 0
-    one = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark, df, held).collect()}
-    tables = suffix_tree.blocks
-    monkeypatch.setattr(suffix_tree, "blocks", lambda *a: tables(*a, size=500))
-    monkeypatch.setattr(suffix_tree, "key_filter", lambda rows, key="key": np.full(1 << suffix_tree.BITS - 6, 2**64 - 1, np.uint64))
-    two = {r["doc_id"]: r["score"] for r in suffix_tree.score(spark, df, held).collect()}
-    assert one == pytest.approx(two, abs=1e-9)
-
-
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a/é\r\nx", "<p>one</p>"), (1, None, "<p>one</p>"), (2, "u", None), (4, "u", ""), (5, "u", "é" * 5000), (None, "u", "<p>one</p>"), (5, "u", "é" * 5000)], "page_id bigint, url string, html string").withColumn("d", F.lit("clash"))
     got = warc.round_trip(spark, pages).collect()
