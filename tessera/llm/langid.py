@@ -1,21 +1,22 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained here in numpy.
 
-The network reads the lower-cased UTF-8 bytes of a text, forwards and backwards, and gives every position a distribution over the
-languages learned; a document's distribution is the softmax of the mean log probability over all its positions. State is reset at
-blanks (and every `SPAN` bytes of a longer run), so what a position says depends on its own word alone, and each distinct
-word is run once per worker and remembered as its summed log probabilities. That keeps the whole text in the score at the cost of
-a table lookup per word.
-
-Training is by backpropagation through time on words of a bounded sample of labelled documents (`SAMPLE` documents, then the
-`WORDS` most frequent (word, language) pairs), weighted by the root of their counts. Null text and text without a letter is `und`
-with score 0. Repeated rows repeat their result; only the id, text and lang columns are read. If no labelled row is left to
-learn from (as with an empty table), every document is `und`.
+The network reads the lower-cased (A-Z) UTF-8 bytes of a text, forwards and backwards, and gives every position a distribution over the
+languages learned; a document's distribution is the softmax of the mean log probability over all its positions. Blanks and
+punctuation are read like other bytes, so a position knows the words around it. Texts are read in windows of `CORE` positions; each
+direction starts `MARGIN` bytes before the window's first position (in its direction of reading), so a position's state has at least
+that many bytes of context, or all there are. The network's gates forget within that distance. Many windows run at once, a text of
+any length in windows of its own, so memory is bounded. Byte 0 stands for what is beyond a text's ends: it leaves the state as it is.
+
+Gates are hard sigmoids, the candidate is a tanh whose recurrent part the reset gate scales. Training is by backpropagation
+through time on windows of a bounded sample of labelled documents: by a hash of the id, of each language at most about `SAMPLE` rows
+and as many as hold about `BYTES` bytes. The sampled texts are used whole: windows are drawn from all of them, alike by language.
+
+Null text and text without a letter (`str.isalpha`) is `und` with score 0. Repeated rows repeat their result; only the id, text and
+lang columns are read. If no labelled row is left to learn from (as with an empty table), every document is `und`.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes
-from .samples import by_hash
+from .samples import GRAIN
 
-SAMPLE = 3000
-WORDS = 24_000
-SPAN = 24
-HIDDEN = 24
-EMBED = 16
-LETTER = re.compile(r"[^\W\d_]")
+SAMPLE = 1000
+BYTES = 4_000_000
+HIDDEN = 8
+EMBED = 12
+#: Positions of a window, and bytes of context before it in either direction.
+CORE, MARGIN = 112, 16
+#: Windows that run together, and bytes of text whose windows are dealt with together.
+TOGETHER, GROUP = 1024, 4 << 20
+#: Training: steps, windows in a step, bytes in a window.
+STEPS, BATCH, LENGTH = 320, 192, 96
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,79 +44,99 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BiGru:
-    """Gates in the order update, reset, candidate; one set of weights for each direction; a softmax over both states per position."""
+    """Gates in the order update, reset, candidate; index 0 of a weight is the forward direction, 1 the backward one; a softmax over both states per position."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, embed: int = EMBED, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.labels, self.hidden = labels, hidden
-        k = len(labels)
         u = lambda *shape, fan: (rng.standard_normal(shape) / np.sqrt(fan)).astype(np.float32)
-        self.p = {"E": u(256, embed, fan=embed), "O": u(2 * hidden, k, fan=2 * hidden), "c": np.zeros(k, np.float32)}
-        for d in "fb":
-            self.p |= {"W" + d: u(embed, 3 * hidden, fan=embed), "U" + d: u(hidden, 3 * hidden, fan=hidden), "a" + d: np.zeros(3 * hidden, np.float32)}
-
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each position, in reading order of direction d; where the mask is 0 the state stays."""
-        p, h = self.p, self.hidden
-        table = p["E"] @ p["W" + d] + p["a" + d]
-        n, t = x.shape
-        state, out, kept = np.zeros((n, h), np.float32), np.zeros((t, n, h), np.float32), []
-        U = p["U" + d]
-        for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            g = table[x[:, i]]
-            zr = _sigmoid(g[:, : 2 * h] + state @ U[:, : 2 * h])
+        k, h = len(labels), hidden
+        self.p = {
+            "E": u(256, embed, fan=embed), "W": u(2, 3 * h, embed, fan=embed), "a": np.zeros((2, 3 * h, 1), np.float32), "U": 0.5 * u(2, 3 * h, h, fan=h),
+            "O": u(2, k, h, fan=2 * h), "c": np.zeros((k, 1), np.float32),
+        }
+
+    def table(self) -> np.ndarray:
+        """What each byte adds to the gates of either direction; byte 0 shuts the update gate."""
+        t = self.p["W"] @ self.p["E"].T + self.p["a"]
+        t[:, : self.hidden] += 0.5  # a hard sigmoid is x + 1/2, kept between 0 and 1
+        t[:, self.hidden : 2 * self.hidden] += 0.5
+        t[:, : self.hidden, 0] = -1e4
+        return np.ascontiguousarray(t)
+
+    def logits(self, x: np.ndarray, skip: int = 0) -> np.ndarray:
+        """[position, language, window] of the positions of x[position, window] but the first and last `skip`."""
+        h, (t, n) = self.hidden, x.shape
+        table, U, O = self.table(), self.p["U"], self.p["O"]
+        state, g, u, d = np.zeros((2, h, n), np.float32), np.empty((2, 3 * h, n), np.float32), np.empty((2, 3 * h, n), np.float32), np.empty((2, h, n), np.float32)
+        core = t - 2 * skip
+        out = np.zeros((core, len(self.labels), n), np.float32)
+        for i in range(t - skip):
+            np.take(table[0], x[i], axis=1, out=g[0], mode="clip")
+            np.take(table[1], x[t - 1 - i], axis=1, out=g[1], mode="clip")
+            np.matmul(U, state, out=u)
+            gates, c = g[:, : 2 * h], g[:, 2 * h :]
+            gates += u[:, : 2 * h]
+            np.clip(gates, 0, 1, out=gates)
+            np.multiply(gates[:, h:], u[:, 2 * h :], out=d)
+            c += d
+            np.tanh(c, out=c)
+            c -= state
+            c *= gates[:, :h]
+            state += c
+            if i >= skip:
+                y = O @ state
+                out[i - skip] += y[0]
+                out[core - 1 - (i - skip)] += y[1]
+        out += self.p["c"]
+        return out
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy over all positions of windows x[position, window] (byte 0: none) with labels y, and its gradients through time."""
+        p, h, (t, n) = self.p, self.hidden, x.shape
+        table, U, O = self.table(), p["U"], p["O"]
+        both = np.stack([x, x[::-1]], 1)  # [step, direction, window]
+        states, kept = np.zeros((t + 1, 2, h, n), np.float32), []
+        for i in range(t):
+            u = U @ states[i]
+            g = np.stack([table[0][:, both[i, 0]], table[1][:, both[i, 1]]])
+            zr = np.clip(g[:, : 2 * h] + u[:, : 2 * h], 0, 1)
             z, r = zr[:, :h], zr[:, h:]
-            c = np.tanh(g[:, 2 * h :] + (r * state) @ U[:, 2 * h :])
-            m = mask[:, i : i + 1]
-            new = state + m * z * (c - state)
-            if keep:
-                kept.append((i, state, z, r, c, m))
-            out[i] = state = new
-        return out, kept
-
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Log probabilities [position, row, language]."""
-        both = np.concatenate([self._pass(x, mask, "f", False)[0], self._pass(x, mask, "b", False)[0]], 2)
-        s = both @ self.p["O"] + self.p["c"]
-        s -= s.max(2, keepdims=True)
-        return s - np.log(np.exp(s).sum(2, keepdims=True))
-
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy over the labelled positions, and its gradients through time."""
-        p, h, g = self.p, self.hidden, {k: np.zeros_like(v) for k, v in self.p.items()}
-        runs = {d: self._pass(x, mask, d, True) for d in "fb"}
-        both = np.concatenate([runs["f"][0], runs["b"][0]], 2)
-        s = both @ p["O"] + p["c"]
-        s -= s.max(2, keepdims=True)
+            c = np.tanh(g[:, 2 * h :] + r * u[:, 2 * h :])
+            states[i + 1] = states[i] + z * (c - states[i])
+            kept.append((u[:, 2 * h :], zr, c))
+        f, b = states[1:, 0], states[:0:-1, 1]  # by position
+        s = O[0] @ f + O[1] @ b + p["c"]
+        s -= s.max(1, keepdims=True)
         e = np.exp(s)
-        q = e / e.sum(2, keepdims=True)
-        w = (mask * weight[:, None]).T[:, :, None].astype(np.float32)
-        total = max(float(w.sum()), 1e-9)
-        loss = -float((np.log(q[:, np.arange(len(y)), y] + 1e-12) * w[:, :, 0]).sum()) / total
-        q[:, np.arange(len(y)), y] -= 1
+        q = e / e.sum(1, keepdims=True)
+        w = (x > 0).astype(np.float32)[:, None, :]
+        total, at = max(float(w.sum()), 1.0), np.arange(n)
+        loss = -float((np.log(q[:, y, at] + 1e-12) * w[:, 0]).sum()) / total
+        q[:, y, at] -= 1
         ds = q * w / total
-        g["O"] = np.einsum("tnh,tnk->hk", both, ds, optimize=True)
-        g["c"] = ds.sum((0, 1))
-        dboth = ds @ p["O"].T
-        for k, d in enumerate("fb"):
-            U, carry = p["U" + d], np.zeros((len(y), h), np.float32)
-            dtable = np.zeros((256, 3 * h), np.float32)
-            for i, state, z, r, c, m in reversed(runs[d][1]):
-                dh = carry + dboth[i][:, k * h : (k + 1) * h]
-                dz, dc = dh * m * (c - state), dh * m * z
-                carry = dh * (1 - m * z)
-                da = dc * (1 - c * c)
-                back = da @ U[:, 2 * h :].T
-                dr = back * state
-                carry += back * r
-                dzr = np.concatenate([dz * z * (1 - z), dr * r * (1 - r)], 1)
-                carry += dzr @ U[:, : 2 * h].T
-                g["U" + d][:, : 2 * h] += state.T @ dzr
-                g["U" + d][:, 2 * h :] += (r * state).T @ da
-                np.add.at(dtable, x[:, i], np.concatenate([dzr, da], 1))
-            g["W" + d] = p["E"].T @ dtable
-            g["a" + d] = dtable.sum(0)
-            g["E"] += dtable @ p["W" + d].T
+        g = {"O": np.stack([np.einsum("tkn,thn->kh", ds, v, optimize=True) for v in (f, b)]), "c": ds.sum((0, 2))[:, None]}
+        back = np.stack([O[0].T @ ds, (O[1].T @ ds)[::-1]], 1)  # by step
+        carry, dU, da = np.zeros((2, h, n), np.float32), np.zeros_like(U), np.zeros((t, 2, 3 * h, n), np.float32)
+        for i in range(t - 1, -1, -1):
+            uc, zr, c = kept[i]
+            z, r, before = zr[:, :h], zr[:, h:], states[i]
+            dh = carry + back[i]
+            dc = dh * z * (1 - c * c)
+            live = (zr > 0) & (zr < 1)
+            da[i, :, :h], da[i, :, h : 2 * h], da[i, :, 2 * h :] = dh * (c - before) * live[:, :h], dc * uc * live[:, h:], dc
+            du = da[i].copy()
+            du[:, 2 * h :] *= r
+            dU += du @ before.transpose(0, 2, 1)
+            carry = dh * (1 - z) + U.transpose(0, 2, 1) @ du
+        dtable = np.zeros((2, 3 * h, 256), np.float32)
+        for k in range(2):
+            seen = both[:, k].ravel()
+            order = np.argsort(seen, kind="stable")
+            first = np.flatnonzero(np.diff(seen[order].astype(np.int64), prepend=-1))
+            dtable[k][:, seen[order][first]] = np.add.reduceat(da[:, k].transpose(1, 0, 2).reshape(3 * h, -1)[:, order], first, axis=1)
+        dtable[:, :, 0] = 0
+        g |= {"U": dU, "W": dtable @ p["E"], "a": dtable.sum(2, keepdims=True), "E": (dtable.transpose(0, 2, 1) @ p["W"]).sum(0)}
         return loss, g
 
 
@@ -131,152 +156,101 @@ class Adam:
             self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
 
-def spans(word: bytes) -> list[bytes]:
-    return [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
-
+def stretches(texts: list[bytes], core: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer of the texts with zeros around each, and of every window: its begin in the buffer (margin included), positions and text."""
+    n = np.array([len(t) for t in texts], np.int64)
+    gap = bytes(core + 2 * margin)
+    buffer = np.frombuffer(bytes(margin) + gap.join(texts) + gap, np.uint8)
+    begin = np.cumsum(n + len(gap)) - (n + len(gap))
+    windows = -(-n // core)
+    of = np.repeat(np.arange(len(n)), windows)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * core
+    return buffer, begin[of] + at, np.minimum(core, n[of] - at), of
 
-def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    t = max(map(len, parts))
-    x, mask = np.zeros((len(parts), t), np.uint8), np.zeros((len(parts), t), np.float32)
-    for i, b in enumerate(parts):
-        x[i, : len(b)] = np.frombuffer(b, np.uint8)
-        mask[i, : len(b)] = 1
-    return x, mask
 
-
-def fit(words: list[bytes], labels: list[str], counts: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 7) -> BiGru:
-    """The network for (word, label, count) examples."""
+def fit(texts: list[bytes], labels: list[str], steps: int = STEPS, batch: int = BATCH, length: int = LENGTH, rate: float = 0.02, seed: int = 7) -> BiGru:
+    """The network for texts and their languages."""
     names = sorted(set(labels))
-    model, index = BiGru(names, seed=seed), {k: i for i, k in enumerate(names)}
-    parts = [(s, index[y], c) for w, y, c in zip(words, labels, counts) for s in spans(w)]
-    parts.sort(key=lambda p: (len(p[0]), p[0], p[1]))
-    y = np.array([p[1] for p in parts])
-    # Languages weigh alike, whatever their share of the sample.
-    weight = np.sqrt(np.array([p[2] for p in parts], np.float64))
-    share = np.bincount(y, weight * np.array([len(p[0]) for p in parts]), len(names))
-    weight = weight * (share.sum() / len(names) / np.maximum(share, 1e-9))[y] ** 0.5
-    weight = (weight / weight.mean()).astype(np.float32)
-    groups = [np.arange(i, min(i + batch, len(parts))) for i in range(0, len(parts), batch)]
-    rng, adam = np.random.default_rng(seed), Adam(model.p, rate)
-    for epoch in range(epochs):
-        adam.rate = rate * (0.5 ** max(0, epoch - 1))
-        for k in rng.permutation(len(groups)):
-            ids = groups[k]
-            x, mask = padded([parts[i][0] for i in ids])
-            adam.step(model.gradients(x, mask, y[ids], weight[ids])[1])
+    model, index, rng = BiGru(names, seed=seed), {k: i for i, k in enumerate(names)}, np.random.default_rng(seed)
+    buffer, begin, size, of = stretches(texts, length, 0)
+    y = np.array([index[k] for k in labels])[of]
+    order = np.argsort(y, kind="stable")
+    first = np.searchsorted(y[order], np.arange(len(names) + 1))
+    some = np.flatnonzero(np.diff(first))  # languages whose texts have any byte
+    adam = Adam(model.p, rate)
+    for step in range(steps if len(some) else 0):
+        adam.rate = rate * 0.5 ** (4 * step / steps)
+        k = some[rng.integers(0, len(some), batch)]
+        w = order[first[k] + (rng.random(batch) * (first[k + 1] - first[k])).astype(np.int64)]
+        x = buffer[begin[w][:, None] + np.arange(length)].T
+        adam.step(model.gradients(np.ascontiguousarray(x), y[w])[1], most=1.0)
     return model
 
 
-class WordScores(dict):
-    """word -> row of `table`: summed log probabilities over the word's positions, and their number. Bounded; forgets everything at `most`."""
-
-    def __init__(self, model: BiGru, most: int = 250_000):
-        self.model, self.most = model, most
-        self.table = np.zeros((most + 1, len(model.labels) + 1), np.float32)
-
-    def learn(self, new: list[bytes], batch: int = 4096) -> None:
-        if len(self) + len(new) > self.most:
-            self.clear()
-            if len(new) > self.most:
-                self.table, self.most = np.zeros((len(new) + 1, self.table.shape[1]), np.float32), len(new)
-        parts = sorted(((s, w) for w in new for s in spans(w)), key=lambda p: len(p[0]))
-        for w in new:
-            self[w] = len(self)
-        self.table[[self[w] for w in new]] = 0
-        for i in range(0, len(parts), batch):
-            some = parts[i : i + batch]
-            x, mask = padded([s for s, _ in some])
-            logs = self.model.forward(x, mask)
-            rows = np.array([self[w] for _, w in some])
-            np.add.at(self.table, rows, np.concatenate([(logs * mask.T[:, :, None]).sum(0), mask.sum(1, keepdims=True)], 1))
-
-    def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log probability by language of each text's positions (0 where there are none)."""
-        out = np.zeros((len(texts), len(self.model.labels)))
-        begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and (size < 1 << 20 or end == begin):
-                size += len(texts[end])
-                end += 1
-            split = [t.lower().split() for t in texts[begin:end]]
-            distinct = set().union(*split)
-            new = distinct - self.keys()
-            if new and len(self) + len(new) > self.most:
-                self.clear()
-                new = distinct
-            if new:
-                self.learn(sorted(new))
-            for i, s in enumerate(split, begin):
-                if s:
-                    sums = self.table[np.fromiter(map(self.__getitem__, s), np.int64, len(s))].sum(0, dtype=np.float64)
-                    out[i] = sums[:-1] / sums[-1]
-            begin = end
-        return out
-
-
-def training_words(docs: DataFrame, train: Column, sample: int, most: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[bytes, str, int]]:
-    """(word, lang, count) of the `most` most frequent pairs in a bounded sample of labelled documents that have a letter."""
-    known = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = by_hash(known.select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string").alias("lang")), id_col, sample).select("lang", F.col(text_col).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                for w, n in Counter(text.lower().split()).items():
-                    seen[lang, w[: 4 * SPAN]] += n
-                if len(seen) > 500_000:
-                    yield rows(seen)
-                    seen.clear()
-        yield rows(seen)
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[1] for k in seen], pa.binary()), pa.array([k[0] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "lang", "n"])
-
-    pairs = chosen.mapInArrow(count, "word binary, lang string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(most)
-    return [(bytes(r["word"]), r["lang"], r["n"]) for r in pairs.collect()]
-
-
-def train(docs: DataFrame, train: Column, sample: int = SAMPLE, most: int = WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> BiGru | None:
-    found = training_words(docs, train, sample, most, id_col, text_col, lang_col)
-    return fit(*map(list, zip(*found)), **how) if found else None
-
-
-_SCORES: dict[int, WordScores] = {}
-
-
-def word_scores(key: int, model: BiGru) -> WordScores:
-    """One memory per worker and model."""
-    if key not in _SCORES:
-        _SCORES.clear()
-        _SCORES[key] = WordScores(model)
-    return _SCORES[key]
-
-
-def _verdicts(model: BiGru, key: int, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    logs = word_scores(key, model).documents(texts)
+def mean_logs(model: BiGru, texts: list[bytes]) -> np.ndarray:
+    """Mean log probability by language over all positions of each text (0 where there are none)."""
+    out = np.zeros((len(texts), len(model.labels)))
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (size < GROUP or end == begin):
+            size += len(texts[end])
+            end += 1
+        some = [t.lower() for t in texts[begin:end]]
+        buffer, at, n, of = stretches(some, CORE, MARGIN)
+        order = np.argsort(-n, kind="stable")  # windows of one length together
+        for i in range(0, len(order), TOGETHER):
+            w = order[i : i + TOGETHER]
+            core = int(n[w].max())
+            s = model.logits(np.ascontiguousarray(buffer[at[w][:, None] + np.arange(core + 2 * MARGIN)].T), MARGIN)
+            s -= np.log(np.exp(s).sum(1, keepdims=True))
+            if n[w[-1]] < core:
+                s *= (np.arange(core)[:, None] < n[w])[:, None, :]
+            total = s.sum(0, dtype=np.float64)
+            for k in range(len(model.labels)):
+                out[begin:end, k] += np.bincount(of[w], total[k], len(some))
+        out[begin:end] /= np.maximum(1, [len(t) for t in some])[:, None]
+        begin = end
+    return out
+
+
+def training_texts(docs: DataFrame, train: Column, sample: int, most: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, bytes]]:
+    """(lang, text) of a sample of the labelled documents: of each language at most about `sample` rows, and as many as hold about `most` bytes."""
+    known = docs.where(train & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    least = F.lit(0)
+    for r in sizes:
+        least = F.when(F.col("lang") == r["lang"], int(GRAIN * min(1.0, sample / r["n"], most / max(1, r["bytes"])))).otherwise(least)
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(GRAIN)) < least).select("lang", "text").toArrow()
+    return sorted(zip(chosen.column("lang").to_pylist(), (t.lower() for c in chosen.column("text").chunks for t in text_bytes(c))))
+
+
+def train(docs: DataFrame, train: Column, sample: int = SAMPLE, most: int = BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> BiGru | None:
+    """The network fitted to a bounded sample of the labelled rows that `train` admits; None if there are none."""
+    found = training_texts(docs, train, sample, most, id_col, text_col, lang_col)
+    return fit([t for _, t in found], [k for k, _ in found], **how) if found else None
+
+
+def _verdicts(model: BiGru, texts: list[bytes]) -> tuple[list[str], list[float]]:
+    logs = mean_logs(model, texts)
     q = np.exp(logs - logs.max(1, keepdims=True))
     q /= q.sum(1, keepdims=True)
-    und = [not LETTER.search(t.decode("utf-8", "replace")) for t in texts]
+    und = [not any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in texts]
     return ["und" if u else model.labels[b] for u, b in zip(und, q.argmax(1))], [0.0 if u else float(p) for u, p in zip(und, q.max(1))]
 
 
-def _key(model: BiGru) -> int:
-    return hash(tuple(float(v.astype(np.float64).sum()) for v in model.p.values()))
-
-
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score. The model is a few thousand numbers and travels with the function."""
     kind = docs.schema[id_col].dataType.simpleString()
     if model is None:
         return docs.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    key = _key(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _verdicts(model, key, text_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
+            if batch.num_rows:
+                lang, score = _verdicts(model, text_bytes(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
 
@@ -285,11 +259,12 @@ def keep(docs: DataFrame, model: BiGru | None, least: float, text_col: str = "te
     """The rows of `docs`, all columns, whose text has a learned language with a score of at least `least`; none without a model."""
     if model is None:
         return docs.limit(0)
-    key, at = _key(model), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _verdicts(model, key, text_bytes(batch.column(at)))
-            yield batch.take(pa.array([i for i, (k, p) in enumerate(zip(lang, score)) if k != "und" and p >= least], pa.int64()))
+            if batch.num_rows:
+                lang, score = _verdicts(model, text_bytes(batch.column(at)))
+                yield batch.take(pa.array([i for i, (k, p) in enumerate(zip(lang, score)) if k != "und" and p >= least], pa.int64()))
 
     return docs.mapInArrow(run, docs.schema)
