@@ -5,9 +5,9 @@ shapes, repetition within the passage, and hashed words. One layer embeds it, ga
 against the document's other passages, and the weighted sum of embeddings gives the document's score. Attention is learned from
 document labels alone.
 
-Learning takes a bounded sample (`SAMPLE` labelled rows; of a document with over `BAG` passages, `BAG` evenly spaced ones).
-Scoring takes every passage of every whole text: the attention sums are accumulated over passages, so a text of any length needs
-bounded memory. Null, empty and blank texts are one passage without words, whose vector is zero but for its own flag. Repeated rows
+Learning takes a bounded sample (`SAMPLE` labelled rows), with every passage of its texts. Scoring takes every passage of every whole
+text; texts are scored in groups of about `GROUP` words, and a longer one by itself, so memory follows the longest text (about its
+own size in vectors). Null, empty and blank texts are one passage without words, whose vector is zero but for its own flag. Repeated rows
 repeat their score; only the id and text columns are read. Without labelled rows every score is 0.5. An empty table gives an empty
 result.
 """
@@ -27,7 +27,6 @@ from .langid import Adam, _sigmoid
 from .samples import labelled
 
 SAMPLE = 4000
-BAG = 24
 PASSAGE = 64
 HASHED = 64
 HIDDEN = 24
@@ -204,9 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quali
             texts, y, out = text_bytes(batch.column(1)), batch.column(2), []
             for a, b in groups(texts):
                 x, first = shapes().passages(texts[a:b])
-                for i, j in zip(first[:-1], first[1:]):
-                    pick = np.unique(np.linspace(i, j - 1, BAG).round().astype(int)) if j - i > BAG else np.arange(i, j)
-                    out.append(x[pick].astype("<f4").tobytes())
+                out += [x[i:j].astype("<f4").tobytes() for i, j in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.binary()), y], ["id", "x", "y"])
 
     rows = labelled(docs, labels, label, train, sample, id_col, text_col).mapInArrow(run, "id string, x binary, y int").collect()
