@@ -98,7 +98,7 @@ def test_classifiers(name, label, modulus, left, spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % modulus == left) for i, r in got.items())
     assert all(r["predicted"] == (r["score"] >= (0.3 if label == "quality" else 0.7)) for r in got.values())
     y = {i: k for i, k in duckdb.sql(f"select doc_id, {label} from '{larger}/labels.parquet'").fetchall() if got[i]["held_out"]}
-    assert auc([got[i]["score"] for i in y], list(y.values())) > 0.95
+    assert auc([got[i]["score"] for i in y], list(y.values())) > 0.9
     share = lambda of: np.mean([got[i]["predicted"] for i, k in y.items() if k == of])
     assert share(1) > 0.7 and share(0) < 0.3
 
