@@ -43,11 +43,11 @@ DISCOUNT = 0.75
 #: Stands for the end; no word holds a blank.
 END = b" "
 #: Bytes of text in a block, about.
-BLOCK = 8 << 20
+BLOCK = 5 << 20
 #: A context is hot from this many occurrences on, or from this share of all symbols if that is more.
 HOT, HOT_SHARE = 1 << 18, 1 / (1 << 16)
 #: Blocks whose asks one part of the key space gets, as a multiple of the parts; and parts at least.
-BLOCKS_A_PART, PARTS = 8, 64
+BLOCKS_A_PART, PARTS = 4, 384
 #: Steps of a told log2 of a probability.
 GRAIN = 512
 OLDER, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -63,27 +63,31 @@ class Numbered(dict):
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned numbers as byte planes (no more than the largest needs), compressed; any number of arrays."""
+    """Unsigned numbers as byte planes (no more than the largest needs; hashes as they are), compressed; any number of arrays."""
     import zstandard
 
     out = [np.array([len(arrays), *(len(x) for x in arrays)], "<u8").tobytes()]
     for x in arrays:
         planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-        out += [bytes([planes]), np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()]
+        x = x.astype("<u8", copy=False)
+        out += [bytes([planes]), x.tobytes() if planes == 8 else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def unpack(b: bytes) -> list[np.ndarray]:
+def unpack(b: bytes | pa.BinaryScalar) -> list[np.ndarray]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(b)
+    raw = zstandard.ZstdDecompressor().decompress(b.as_buffer() if isinstance(b, pa.BinaryScalar) else b)
     k = int(np.frombuffer(raw, "<u8", 1)[0])
     out, at = [], 8 * (k + 1)
     for n in np.frombuffer(raw, "<u8", k, 8).tolist():
         planes, at = raw[at], at + 1
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :planes] = np.frombuffer(raw, np.uint8, n * planes, at).reshape(planes, n).T
-        out.append(x.view("<u8").ravel())
+        if planes == 8:
+            out.append(np.frombuffer(raw, "<u8", n, at))
+        else:
+            x = np.zeros((n, 8), np.uint8)
+            x[:, :planes] = np.frombuffer(raw, np.uint8, n * planes, at).reshape(planes, n).T
+            out.append(x.view("<u8").ravel())
         at += n * planes
     return out
 
@@ -102,9 +106,30 @@ def follow(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * NEXT + symbol)
 
 
+def grouped(x: np.ndarray) -> np.ndarray:
+    """An order in which equal values stand together, by rising leading bits.
+
+    Values are sorted (several times faster than places are) with their places in the low bits. Values too large for that keep
+    their leading bits; in the rare case that two of them differ below these only, places are sorted after all.
+    """
+    bits = max(1, (len(x) - 1).bit_length())
+    place = np.arange(len(x), dtype=np.uint64)
+    x = x.astype(np.uint64, copy=False)
+    small = len(x) == 0 or int(x.max()) < 1 << 64 - bits
+    s = x << np.uint64(bits) if small else x >> np.uint64(bits) << np.uint64(bits)
+    s |= place
+    s.sort()
+    order = (s & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if not small:
+        v, s = x[order], s >> np.uint64(bits)
+        if ((s[1:] == s[:-1]) & (v[1:] != v[:-1])).any():
+            return np.argsort(x, kind="stable")
+    return order
+
+
 def first_and_number(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that sorts x, where each distinct value begins in it, and the number of every element's value."""
-    order = np.argsort(x)
+    """An order that groups x, where each distinct value begins in it, and the number of every element's value."""
+    order = grouped(x)
     new = np.empty(len(x), bool)
     new[:1] = True
     s = x[order]
@@ -146,28 +171,36 @@ def divergence(total: np.ndarray, kept: np.ndarray, mass: np.ndarray, gain: np.n
 class Level:
     """A block's distinct contexts and events of one depth, in the order in which they are asked: by part, context, event."""
 
-    def __init__(self, live: np.ndarray, key: np.ndarray, total: np.ndarray, asked: np.ndarray, walk: Walk):
-        """Places that are live, keys and totals of their contexts, and which of the places ask for their event."""
+    def __init__(self, live: np.ndarray, key: np.ndarray | None, total: np.ndarray, asked: np.ndarray, walk: Walk):
+        """Places that are live, keys and totals of their contexts (None: the words before them), and which of the places ask for their event."""
         parts, hot = walk.told.parts, walk.told.hot
         self.live = live
-        order, begin, self.context = first_and_number(key)
-        first = order[begin]
-        self.keys, self.total = key[first], total[first]
+        if key is None:
+            word = walk.tokens[live - 1]
+            some = np.bincount(word, minlength=len(walk.hashes)) > 0
+            self.keys = walk.hashes[chosen := walk.order[some[walk.order]]]
+            number = np.zeros(len(walk.hashes), np.int64)
+            number[chosen] = np.arange(len(chosen))
+            self.context = number[word]
+            self.total = np.zeros(len(chosen), np.int64)
+            self.total[self.context] = total
+        else:
+            order, begin, self.context = first_and_number(key)
+            first = order[begin]
+            self.keys, self.total = key[first], total[first]
         self.places = np.flatnonzero(asked)
         symbol = walk.tokens[live[self.places]]
-        order, begin, self.event = first_and_number(self.context[self.places] << 32 | symbol)
+        order, begin, self.event = first_and_number(self.context[self.places] * len(walk.hashes) + symbol)
         one = order[begin]
         of, symbol = self.context[self.places[one]], symbol[one]
-        self.of = of
-        events = follow(self.keys[of], walk.hashes[symbol])
-        n = added(walk.train[live[self.places]][order].astype(np.int64), begin)
-        p = walk.p[live[self.places[one]]]
-        near = np.minimum(np.round(-np.log2(p) * GRAIN), 65535).astype(np.uint64)
+        self.of, self.walk, self.order, self.begin = of, walk, order, begin
+        hash_events = lambda: follow(self.keys[of], walk.hashes[symbol])
         # Entries: a context of its own part, or a hot context in every part that gets one of its events.
         is_hot = self.total >= hot
         entry_context, entry_part, event_entry = np.arange(len(self.keys)), part_of(self.keys, parts), of
+        self.by_event = by_part = slice(None)
         if is_hot.any():
-            h = np.flatnonzero(is_hot[of])
+            h, events = np.flatnonzero(is_hot[of]), hash_events()
             pairs, which = np.unique(part_of(events[h], parts) * len(self.keys) + of[h], return_inverse=True)
             plain = np.flatnonzero(~is_hot)
             place = np.zeros(len(self.keys), np.int64)
@@ -176,32 +209,36 @@ class Level:
             entry_part = np.concatenate([entry_part[plain], pairs // max(1, len(self.keys))])
             event_entry = place[of]
             event_entry[h] = len(plain) + which
-        # Sorted keys have rising parts, so without hot contexts nothing moves.
-        by_part = np.argsort(entry_part, kind="stable")
-        rank = np.empty(len(by_part), np.int64)
-        rank[by_part] = np.arange(len(by_part))
-        self.by_event = np.argsort(rank[event_entry], kind="stable")
+            by_part = np.argsort(entry_part, kind="stable")
+            rank = np.empty(len(by_part), np.int64)
+            rank[by_part] = np.arange(len(by_part))
+            self.by_event = np.argsort(rank[event_entry], kind="stable")
+        # Without hot contexts nothing moves: keys are in the order of their parts.
         self.entry = entry_context[by_part]
-        size = np.bincount(event_entry, minlength=len(by_part))[by_part]
+        size = np.bincount(event_entry, minlength=len(entry_part))[by_part]
         at = np.searchsorted(entry_part[by_part], np.arange(parts + 1))
         ends = np.concatenate([[0], np.cumsum(size)])
         self.slices = [(r, int(at[r]), int(at[r + 1]), int(ends[at[r]]), int(ends[at[r + 1]])) for r in range(parts) if at[r] < at[r + 1]]
-        self.size, self.events, self.n, self.near = size, events[self.by_event], n[self.by_event], near[self.by_event]
+        self.size, self.hash_events = size, hash_events
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
-        keys, total = self.keys[self.entry], self.total[self.entry]
+        walk, at = self.walk, self.live[self.places]
+        n = added(walk.train[at][self.order].astype(np.int64), self.begin)
+        near = np.minimum(np.round(-np.log2(walk.p[at[self.order[self.begin]]]) * GRAIN), 65535).astype(np.uint64)
+        keys, total, events, n, near = self.keys[self.entry], self.total[self.entry], *(x[self.by_event] for x in (self.hash_events(), n, near))
         for r, a, b, c, d in self.slices:
-            yield r, pack(rising(keys[a:b]), total[a:b], self.size[a:b], self.events[c:d], self.n[c:d], self.near[c:d])
+            yield r, pack(rising(keys[a:b]), total[a:b], self.size[a:b], events[c:d], n[c:d], near[c:d])
 
     def hear(self, told: dict[int, bytes], sums: tuple) -> tuple[np.ndarray, ...]:
         """By context: kept symbols, their mass, whether it is a state. By event: the count."""
-        kept, mass, state, n = (np.zeros(len(self.keys), np.int64) for _ in range(4))
-        n = np.zeros(len(self.of), np.int64)
+        kept, mass, state = (np.zeros(len(self.keys), np.int64) for _ in range(3))
+        n, counts = np.zeros(len(self.of), np.int64), np.zeros(len(self.of), np.int64)
         for r, a, b, c, d in self.slices:
             k, m, count = (x.astype(np.int64) for x in unpack(told[r]))
             e = self.entry[a:b]
             kept[e], state[e], mass[e] = k >> 1, k & 1, m
-            n[self.by_event[c:d]] = count
+            counts[c:d] = count
+        n[self.by_event] = counts
         if len(sums):
             i = np.minimum(np.searchsorted(sums[0], self.keys), len(sums[0]) - 1)
             hot = np.flatnonzero(sums[0][i] == self.keys)
@@ -239,8 +276,7 @@ class Walk:
     def level(self, d: int, before: Level | None, key: np.ndarray | None, least: int) -> Level:
         """The level of depth d; `key` is the previous level's context key by live place."""
         if before is None:
-            live = np.flatnonzero((self.place >= 1) & (np.concatenate([[0], self.last[:-1]]) >= least))
-            context = self.hashes[self.tokens[live - 1]]
+            live, context = np.flatnonzero((self.place >= 1) & (np.concatenate([[0], self.last[:-1]]) >= least)), None
         else:
             known = np.zeros(len(self.tokens), np.uint64)
             known[before.live] = key
@@ -331,6 +367,25 @@ def bucketed(scratch: Scratch, rows: DataFrame, tag: str) -> DataFrame:
 ASK = "part int, block bigint, ask binary"
 
 
+def frugal(f):
+    """`f` for one group, after which freed memory goes back to the system: a worker meets many groups, and its neighbours need the room."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        import ctypes
+
+        out = f(*tables)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        return out
+
+    # Spark tells a group's function by its arguments.
+    if f.__code__.co_argcount == 2:
+        return lambda left, right: run(left, right)
+    return lambda table: run(table)
+
+
 def _heard(answers: pa.Table) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
     for part, level, told in zip(*(answers.column(c).to_pylist() for c in ("part", "level", "told"))):
@@ -374,7 +429,7 @@ def told_words(asks: DataFrame) -> DataFrame:
         rows.append((-1, part, 0, None, None, int((count > 0).sum()), int(count.sum()), float((count == 1).sum()), None))
         return _answers(rows)
 
-    return asks.groupBy("part").applyInArrow(run, ANSWER)
+    return asks.groupBy("part").applyInArrow(frugal(run), ANSWER)
 
 
 def asked(table: DataFrame, answers: DataFrame, told: Told, d: int, least: int) -> DataFrame:
@@ -389,25 +444,29 @@ def asked(table: DataFrame, answers: DataFrame, told: Told, d: int, least: int)
         block = left.column("block")[0].as_py() if left.num_rows else 0
         return pa.Table.from_arrays([pa.array([r for r, _ in asks], pa.int32()), pa.array([block] * len(asks), pa.int64()), pa.array([b for _, b in asks], pa.binary())], ["part", "block", "ask"])
 
-    return table.select("block", "held", "tokens", "hashes").groupBy("block").cogroup(answers.select("block", "part", "level", "told").groupBy("block")).applyInArrow(run, ASK)
+    return table.select("block", "held", "tokens", "hashes").groupBy("block").cogroup(answers.select("block", "part", "level", "told").groupBy("block")).applyInArrow(frugal(run), ASK)
 
 
 def told_level(asks: DataFrame, d: int, told: Told, least: int) -> DataFrame:
     """Answers of depth d: by context the kept symbols (twice, plus 1 for a state) and their mass, by event the count (0 if not kept). Rows of block -1: this part's sums of a hot context."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = [unpack(b) for b in table.column("ask").to_pylist()]
-        keys, total, size, events, n, near = (np.concatenate([x[k] if k else np.cumsum(x[0], dtype=np.uint64) for x in lists]) for k in range(6))
+        lists = [unpack(b) for b in table.column("ask")]
+        lengths = [(len(x[0]), len(x[3])) for x in lists]
+        keys, events = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists]), np.concatenate([x[3] for x in lists])
+        total, size, n, near = (np.concatenate([x[k].astype(t) for x in lists]) for k, t in ((1, np.int64), (2, np.int32), (4, np.int64), (5, np.uint16)))
+        del lists
         _, first, context = first_and_number(keys)
         unique = np.zeros(len(first), np.uint64)
         unique[context] = keys
         totals = np.zeros(len(first), np.int64)
         totals[context] = total
-        of = np.repeat(context, size.astype(np.int64))
+        of = np.repeat(context, size)
         order, begin, event = first_and_number(events)
-        count = added(n[order].astype(np.int64), begin)
+        count = added(n[order], begin)
         count[count < least] = 0
         one = order[begin]
+        del order, n, events, size
         above, c = np.exp2(-near[one].astype(np.float64) / GRAIN), of[one]
         keep = count > 0
         add = lambda w: np.bincount(c[keep], w[keep], len(first))
@@ -415,15 +474,15 @@ def told_level(asks: DataFrame, d: int, told: Told, least: int) -> DataFrame:
         gain, near_all = add(count * np.log(np.maximum(count, 1) / above)), add(above)
         state = divergence(totals, kept, mass, gain, near_all) >= DIVERGENCE
         part, rows, a, e = table.column("part")[0].as_py(), [], 0, 0
-        for block, x in zip(table.column("block").to_pylist(), lists):
-            i, j = context[a : a + len(x[0])], event[e : e + len(x[3])]
+        for block, (contexts, asked_here) in zip(table.column("block").to_pylist(), lengths):
+            i, j = context[a : a + contexts], event[e : e + asked_here]
             rows.append((block, part, d, pack(kept[i] << 1 | state[i], mass[i], count[j]), None, None, None, None, None))
-            a, e = a + len(x[0]), e + len(x[3])
+            a, e = a + contexts, e + asked_here
         for i in np.flatnonzero((totals >= told.hot) & (kept > 0)):
             rows.append((-1, part, d, None, int(unique[i].astype(np.int64)), int(kept[i]), int(mass[i]), float(gain[i]), float(near_all[i])))
         return _answers(rows)
 
-    return asks.groupBy("part").applyInArrow(run, ANSWER)
+    return asks.groupBy("part").applyInArrow(frugal(run), ANSWER)
 
 
 def hot_sums(answers: DataFrame) -> tuple:
@@ -467,4 +526,4 @@ def score(
 
     schema = f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     joined = table.groupBy("block").cogroup(every().select("block", "part", "level", "told").groupBy("block"))
-    return joined.applyInArrow(add_up, schema)
+    return joined.applyInArrow(frugal(add_up), schema)
