@@ -118,12 +118,6 @@ def split_prompts(value: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: collapse(F.btrim(p, F.lit(" ,;")))), lambda p: p != "")
 
 
-def dedupe_fold(values: Column) -> Column:
-    """Distinct values without case, the first of each kept."""
-    seen = F.transform(values, lambda v: F.lower(v))
-    return F.filter(values, lambda v, i: F.array_position(seen, F.lower(v)) == i + 1)
-
-
 def clean_artist(value: Column) -> Column:
     cleaned = F.btrim(strip(value), F.lit("\"'[]{} "))
     return F.when((cleaned == "") | F.lower(cleaned).isin(*NO_ARTIST), F.lit(None)).otherwise(collapse(cleaned))
@@ -172,14 +166,3 @@ def hash_unit(text: Column, salt: str) -> Column:
     """First four bytes of SHA-1(salt:text) as a share of 2^32 - 1, six digits."""
     digest = F.substring(F.sha1(F.concat(F.lit(f"{salt}:"), F.coalesce(text, F.lit(""))).cast("binary")), 1, 8)
     return F.bround(F.conv(digest, 16, 10).cast("bigint") / F.lit(4294967295.0), 6)
-
-
-def first_phrase(text: Column, table: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
-    """Label of the first row of `table` any of whose phrases occurs in the text."""
-    c = None
-    for label, phrases in table:
-        hit = F.contains(text, F.lit(phrases[0]))
-        for p in phrases[1:]:
-            hit = hit | F.contains(text, F.lit(p))
-        c = F.when(hit, label) if c is None else c.when(hit, label)
-    return c

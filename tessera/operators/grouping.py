@@ -26,7 +26,7 @@ from tessera.scratch import Scratch
 
 from .components import components
 from .pairs import cosine_pairs, equal_sets, hamming_pairs, jaccard_pairs
-from .ranking import representative_order
+from .ranking import best_of, representative_order, running
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def _near(rest: DataFrame, t: Thresholds, scratch: Scratch) -> DataFrame:
 
 def _family(rest: DataFrame, t: Thresholds, scratch: Scratch) -> DataFrame:
     sets = scratch.table(equal_sets(rest, "image_id", F.col("path"), F.col("tokens")), "sets")
-    pairs = jaccard_pairs(sets, t.family, ROUNDING)
+    pairs = jaccard_pairs(sets, t.family, ROUNDING, scratch)
     members = rest.select("image_id", F.col("path").alias("bucket"), F.array_sort("tokens").alias("tokens")).join(sets.where("copies > 1"), ["bucket", "tokens"]).select("image_id", "rep")
     return _clusters(rest, _spread(pairs, members), scratch)
 
@@ -89,7 +89,7 @@ def _visual(rest: DataFrame, t: Thresholds, scratch: Scratch) -> DataFrame:
 def _exact(rest: DataFrame, t: Thresholds, scratch: Scratch) -> DataFrame:
     """Numbered by the first member in representative order, so the cluster key is that member's place."""
     known = rest.where("checksum is not null")
-    again = known.groupBy("path", "checksum").agg(F.count(F.lit(1)).alias("n"), F.min_by("image_id", F.struct("n_issues", F.negative(F.coalesce("width", F.lit(0)).cast("bigint") * F.coalesce("height", F.lit(0))), F.negative("size"), F.lower("file_name"), "image_id")).alias("cluster")).where("n > 1")
+    again = known.groupBy("path", "checksum").agg(F.count(F.lit(1)).alias("n"), F.min(best_of(*map(F.col, ("n_issues", "width", "height", "size", "file_name", "image_id"))))["id"].alias("cluster")).where("n > 1")
     return known.join(again.select("path", "checksum", "cluster"), ["path", "checksum"]).select("image_id", "cluster")
 
 
@@ -110,24 +110,21 @@ def cascade(rows: DataFrame, t: Thresholds, scratch: Scratch) -> DataFrame:
     return scratch.table(rows.join(out, "image_id").select(*rows.columns, "cluster", "group_type"), "clustered")
 
 
-def numbered(clustered: DataFrame) -> DataFrame:
+def numbered(clustered: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per group: path, group_type, cluster, index, group_id, representative, members. Indexes run over buckets in path order; `unique` takes one too.
 
-    Groups per bucket are counted first, so that the running offset is over buckets, not rows; the window over all buckets is
-    over one number per path.
+    Groups per bucket are counted first, so that the running offset is over buckets, not rows, and runs in ranges of paths.
     """
-    best = F.struct("n_issues", F.negative(F.coalesce("width", F.lit(0)).cast("bigint") * F.coalesce("height", F.lit(0))).alias("a"), F.negative("size").alias("s"), F.lower("file_name").alias("f"), "image_id")
+    best = best_of(*map(F.col, ("n_issues", "width", "height", "size", "file_name", "image_id")))
     groups = clustered.groupBy("path", "group_type", "cluster").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("members"))
     rank = F.array_position(F.array(*map(F.lit, PASSES)), F.col("group_type"))
     inside = F.when(F.col("group_type") == "exact_duplicate", F.col("best")).otherwise(F.lit(None))
     w = Window.partitionBy("path").orderBy(rank, inside.asc_nulls_first(), "cluster")
     groups = groups.withColumn("place", F.row_number().over(w))
-    before = groups.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("path", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
+    before = running(groups.groupBy("path").agg(F.count(F.lit(1)).alias("n")), ["path"], F.col("n"), scratch).drop("n")
     index = F.col("before") + F.col("place")
     label = F.when(F.col("group_type") == "unique", "unique").otherwise(F.format_string("%s_%03d", "group_type", index))
-    return groups.join(before, "path").select("path", "group_type", "cluster", index.alias("index"), label.alias("group_id"), F.col("best.image_id").alias("representative"), "members")
+    return groups.join(before, "path").select("path", "group_type", "cluster", index.alias("index"), label.alias("group_id"), F.col("best.id").alias("representative"), "members")
 
 
 def relation_score(kind: Column, left: str, right: str) -> Column:

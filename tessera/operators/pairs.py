@@ -1,7 +1,7 @@
 """Similarity self-joins inside buckets: sets by Jaccard, pairs of 64-bit hashes by Hamming distance, vectors by cosine.
 
-None of them compares everything with everything by way of a join: sets meet on rare tokens (prefix filter), hashes on equal bands
-(pigeonhole), vectors in blocks of a matrix product that emit qualifying pairs only. Results are exact.
+None of them compares everything with everything by way of a join: sets meet on rare tokens (prefix filter), hashes on bands that
+agree but for a few bits (pigeonhole), vectors in blocks of a matrix product that emit qualifying pairs only. Results are exact.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import hamming
+from tessera.scratch import Scratch
 
 
 def equal_sets(df: DataFrame, id_col: str, bucket: Column, tokens: Column) -> DataFrame:
@@ -22,56 +23,106 @@ def equal_sets(df: DataFrame, id_col: str, bucket: Column, tokens: Column) -> Da
     return rows.groupBy("bucket", "tokens").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, filter_slack: float = 0.0) -> DataFrame:
+#: Words of the bitmap of a set (64 bits each) that bounds a pair's overlap before its tokens are compared.
+BITMAP = 16
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, filter_slack: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
     """a, b, overlap, size_a, size_b of the pairs of distinct sets (`rep`, `bucket`, `tokens`) with Jaccard >= threshold.
 
-    Tokens are ordered rare first; two sets that reach the threshold share one of their first n - ceil(t n) + 1 tokens, so only
-    those are joined on. `filter_slack` lowers the threshold of the filter, for callers that round before they compare.
+    Tokens are 64-bit hashes, ordered rare first, once per set. Two sets that reach the threshold share one of their first
+    n - ceil(t n) + 1 tokens, and by their sizes and the token's places only those that still can are paired. A pair is then bounded
+    by two bitmaps of `BITMAP` words (a token of one whose bit the other lacks is not shared), which travel instead of the sets; tokens
+    themselves are compared for what is left. `filter_slack` lowers the threshold of the filters, for callers that round before they compare.
     """
+    scratch = scratch or Scratch(sets.sparkSession, "sets")
     t = threshold - filter_slack
-    rows = sets.select("bucket", F.col("rep").alias("id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rare = rows.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(rare.where("df > 1"), ["bucket", "token"], "left")
+    rows = sets.select("bucket", F.col("rep").alias("id"), F.explode(F.transform("tokens", lambda x: F.xxhash64(x))).alias("h"))
+    rare = rows.groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("df"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    maps = [F.coalesce(F.bit_or(F.when(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP - 1)) == w, bit)), F.lit(0)).alias(f"m{w}") for w in range(BITMAP)]
+    x, y = rows.alias("x"), rare.alias("y")
+    both = x.join(y, F.col("x.bucket").eqNullSafe(F.col("y.bucket")) & (F.col("x.h") == F.col("y.h"))).select("x.bucket", "id", "x.h", "df")
+    known = both.groupBy("bucket", "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ordered"), *maps)
+    known = scratch.table(known.select("bucket", "id", F.size("ordered").alias("n"), "ordered", F.array(*[f"m{w}" for w in range(BITMAP)]).alias("map")), "known")
     # Tokens of one set only can match nothing, but they take places in the prefix.
-    w = Window.partitionBy("bucket", "id").orderBy(F.coalesce("df", F.lit(1)), "token")
-    prefix = ranked.withColumn("place", F.row_number().over(w)).where((F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1) & F.col("df").isNotNull())
-    x, y = (prefix.select("bucket", "token", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in "ab")
+    prefix = known.select("bucket", "id", "n", F.posexplode(F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).cast("int"))).alias("at", "token"))
+    prefix = prefix.where("token.df > 1").select("bucket", "id", "n", (F.col("at") + 1).alias("place"), F.col("token.h").alias("h"))
+    x, y = (prefix.select(F.col("bucket").alias(f"bucket{k}"), F.col("h").alias(f"h{k}"), F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("place").alias(f"p{k}")) for k in "ab")
     # What a pair of these sizes has in common at least, so how far into either set the first common token can be.
     common = F.ceil(t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
     near = (F.col("pa") <= F.col("na") - common + 1) & (F.col("pb") <= F.col("nb") - common + 1)
-    candidates = x.join(y, ["bucket", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & near).select("a", "b").distinct()
-    full = sets.select(F.col("rep"), "tokens")
-    rows = candidates.join(full.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(full.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
+    met = x.join(y, (F.col("ha") == F.col("hb")) & F.col("bucketa").eqNullSafe(F.col("bucketb")) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & near)
+    met = met.select("a", "b").distinct()
+    maps = known.select("id", "n", "map")
+    met = met.join(maps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("map").alias("ma")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("map").alias("mb")), "b")
+    lacks = lambda p, q: sum((F.bit_count(F.get(p, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(w))))) for w in range(BITMAP)), F.lit(0))
+    met = met.where(F.least(F.col("na") - lacks("ma", "mb"), F.col("nb") - lacks("mb", "ma")) >= common).select("a", "b")
+    full = known.select("id", F.transform("ordered", lambda o: o["h"]).alias("h"))
+    rows = met.join(full.select(F.col("id").alias("a"), F.col("h").alias("ta")), "a").join(full.select(F.col("id").alias("b"), F.col("h").alias("tb")), "b")
     rows = rows.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("overlap"), F.size("ta").alias("size_a"), F.size("tb").alias("size_b"))
     share = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
     return rows.where((F.bround(share, 4) if filter_slack else share) >= threshold)
 
 
+#: Band values that one row may be looked up under, at most.
+LOOKUPS = 2500
+
+
+def bands_of(most: int, lookups: int = LOOKUPS) -> tuple[int, int]:
+    """Number of bands of 128 bits, and the radius within which one of them agrees if at most `most` bits differ: bands * (radius + 1) > most.
+
+    Fewer, wider bands meet by chance far less often, but a row has to be looked up under every value in the radius. The pair
+    chosen makes the fewest meetings by chance among those of at most `lookups` values.
+    """
+    found = []
+    for radius in range(5):
+        bands = min(128, most // (radius + 1) + 1)
+        width = 128 // bands
+        values = bands * sum(math.comb(width + (128 % bands > 0), k) for k in range(min(radius, width) + 1))
+        if values <= lookups:
+            found.append((values / 2.0**width, radius, bands))
+    _, radius, bands = min(found)
+    return bands, radius
+
+
 def hamming_pairs(df: DataFrame, id_col: str, bucket: Column, first: Column, second: Column, threshold: float) -> DataFrame:
     """a, b, distance of the pairs of a bucket whose mean Hamming distance over two 64-bit hashes is <= threshold.
 
-    128 bits that differ in d places agree on one of d + 1 bands. Equal pairs of hashes are joined once, by their smallest id.
+    128 bits that differ in at most d places agree, on one of s bands, in all but d / s (rounded down) places: rows are filed under
+    the bands' values, and looked up under all values within that radius. Equal pairs of hashes are joined once, by their smallest id.
     """
-    most = math.floor(2 * threshold)
-    bands = min(128, most + 1)
+    bands, radius = bands_of(math.floor(2 * threshold))
     cuts = [round(i * 128 / bands) for i in range(bands + 1)]
     rows = df.select(F.col(id_col).alias("id"), bucket.alias("bucket"), first.alias("p"), second.alias("d")).where("p is not null and d is not null")
     rows = rows.groupBy("bucket", "p", "d").agg(F.min("id").alias("id"))
 
     def bits(begin: int, end: int) -> Column:
-        """Bits [begin, end) of the two hashes in a row; a band may span both."""
-        parts = []
+        """Bits [begin, end) of the two hashes in a row as one number; a band may span both."""
+        out = F.lit(0).cast("bigint")
         for name, low in (("p", 0), ("d", 64)):
-            a, b = max(begin, low) - low, min(end, low + 64) - low
-            if a < b:
-                cut = F.shiftrightunsigned(F.col(name), a)
-                parts.append(cut if b - a == 64 else cut.bitwiseAND(F.lit((1 << (b - a)) - 1)))
-        return F.xxhash64(F.lit(begin), *parts)
-
-    rows = rows.withColumn("band", F.explode(F.array(*[bits(a, b) for a, b in zip(cuts, cuts[1:])])))
-    x, y = (rows.select("bucket", "band", F.col("id").alias(k), F.col("p").alias(f"p{k}"), F.col("d").alias(f"d{k}")) for k in "ab")
+            x, y = max(begin, low) - low, min(end, low + 64) - low
+            if x < y:
+                cut = F.shiftrightunsigned(F.col(name), x)
+                cut = cut if y - x == 64 else cut.bitwiseAND(F.lit((1 << (y - x)) - 1))
+                out = out.bitwiseOR(F.shiftleft(cut, max(0, low - begin)))
+        return out
+
+    def masks(width: int) -> Column:
+        """All numbers of `width` bits with at most `radius` ones, made by a rule on the executors."""
+        one = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k))
+        out = F.array(F.lit(0).cast("bigint"))
+        for _ in range(radius):
+            out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda m: F.transform(one, lambda o: m.bitwiseOR(o))))))
+        return out
+
+    band = lambda v: F.explode(F.flatten(F.array(*[F.transform(v(a, b), lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("v"))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])))
+    filed = rows.withColumn("band", band(lambda a, b: F.array(bits(a, b))))
+    asked = rows.withColumn("band", band(lambda a, b: F.transform(masks(b - a), lambda m: m.bitwiseXOR(bits(a, b)))))
+    x, y = (r.select(F.col("bucket").alias(f"bucket{k}"), F.col("band.k").alias(f"k{k}"), F.col("band.v").alias(f"v{k}"), F.col("id").alias(k), F.col("p").alias(f"p{k}"), F.col("d").alias(f"d{k}")) for k, r in (("a", filed), ("b", asked)))
     distance = (hamming(F.col("pa"), F.col("pb")) + hamming(F.col("da"), F.col("db"))) / 2
-    return x.join(y, ["bucket", "band"]).where((F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.alias("distance")).distinct()
+    met = x.join(y, F.col("bucketa").eqNullSafe(F.col("bucketb")) & (F.col("ka") == F.col("kb")) & (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (distance <= threshold))
+    return met.select("a", "b", distance.alias("distance")).distinct()
 
 
 def cosine_pairs(df: DataFrame, id_col: str, bucket: Column, vector: Column, threshold: float, block: int = 2048) -> DataFrame:

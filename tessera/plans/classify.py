@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.components import components
 from tessera.operators.pairs import equal_sets, jaccard_pairs
+from tessera.operators.ranking import running
 from tessera.scratch import Scratch
 
 from .policy import NSFW_KEYWORDS, STYLE_KEYWORDS, Axis, Policy
@@ -156,14 +157,6 @@ def character_tokens(policy: Policy) -> Column:
     return F.array_except(T.tokens(character_text(F.col("character_prompts"), F.col("prompt"))), drop)
 
 
-def natural_label(text: Column, number: Column) -> Column:
-    """What the prompts of a cluster show, as one word."""
-    said = [T.first_phrase(text, t) for t in (HAIR, EYES, OUTFIT)]
-    subject = T.first_phrase(text, SUBJECT)
-    some = F.coalesce(*said, subject).isNotNull()
-    return F.when(some, F.concat(*[F.coalesce(s, F.lit("")) for s in said], F.coalesce(subject, F.lit(SOMEONE)))).otherwise(F.concat(F.lit(f"{SOME_GROUP}_"), F.format_string("%03d", number)))
-
-
 def families(rows: DataFrame, tokens: Column, threshold: float, prefix: str | None, scratch: Scratch, text: Column | None = None) -> DataFrame:
     """image_id, label of every row in a cluster of two or more whose token sets are linked by Jaccard >= threshold, over all rows.
 
@@ -173,12 +166,12 @@ def families(rows: DataFrame, tokens: Column, threshold: float, prefix: str | No
     """
     rows = scratch.table(rows.select("image_id", "file_name", tokens.alias("tokens"), (text if text is not None else F.lit("")).alias("text")).where(F.size("tokens") > 0), "tokens")
     sets = scratch.table(equal_sets(rows, "image_id", F.lit(0), F.col("tokens")), "sets")
-    pairs = jaccard_pairs(sets, threshold).select("a", "b")
+    pairs = jaccard_pairs(sets, threshold, scratch=scratch).select("a", "b")
     roots = components(pairs, scratch)
     named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tokens", F.coalesce("root", "rep").alias("cluster"))
     member = scratch.table(rows.withColumn("tokens", F.array_sort("tokens")).join(named, "tokens").select("image_id", "file_name", "text", "cluster"), "members")
     clusters = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(F.lower("file_name")).alias("first")).where("n > 1")
-    clusters = clusters.withColumn("number", F.row_number().over(Window.orderBy("first", "cluster")))
+    clusters = running(clusters, ["first", "cluster"], F.lit(1), scratch).withColumn("number", F.col("before") + 1).drop("before")
     if prefix is None:
         # Each phrase is looked for in each text, then "any" over the cluster: no text is gathered.
         clusters = scratch.table(clusters, "clusters")

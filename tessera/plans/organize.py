@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,6 +33,14 @@ def destinations(rows: DataFrame, policy: Policy, existing: DataFrame | None) ->
     return rename_collisions(rows, "folder", "file_name", ["_order", "image_id"], existing).drop("_order")
 
 
+def copied(source: str, target: str) -> bool:
+    """Whether an earlier attempt of the same task has made this copy: size and time of the source, which a copy keeps."""
+    if not os.path.exists(target):
+        return False
+    a, b = os.stat(source), os.stat(target)
+    return (a.st_size, int(a.st_mtime)) == (b.st_size, int(b.st_mtime))
+
+
 def materialize(rows: DataFrame, policy: Policy, sorted_root: Path) -> DataFrame:
     """`rows` with action, status and error. Executors copy; a file that is already there in full is left, so a task may run again."""
     mode, root = policy.execution_mode, str(sorted_root)
@@ -42,9 +51,13 @@ def materialize(rows: DataFrame, policy: Policy, sorted_root: Path) -> DataFrame
             out = []
             for source, folder, name in zip(pdf["file_path"], pdf["folder"], pdf["resolved"]):
                 try:
-                    os.makedirs(os.path.join(root, folder), exist_ok=True)
-                    if mode == "copy":
-                        shutil.copy2(source, os.path.join(root, folder, name))
+                    target = os.path.join(root, folder, name)
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    if mode == "copy" and not copied(source, target):
+                        # Under another name until it is whole, so an attempt that dies leaves nothing that looks finished.
+                        part = f"{target}.{uuid.uuid4().hex}.part"
+                        shutil.copy2(source, part)
+                        os.replace(part, target)
                     out.append((mode, "copied" if mode == "copy" else mode, None))
                 except OSError as e:
                     out.append((mode, "failed", str(e)))
@@ -65,14 +78,17 @@ def manifest(rows: DataFrame, sorted_root: Path) -> DataFrame:
     )
 
 
-def counters(rows: DataFrame) -> dict[str, int]:
-    """Counters of the stage in one aggregation."""
+def count(rows: DataFrame) -> DataFrame:
+    """The stage's counters as one row."""
     renamed = F.col("resolved") != F.col("file_name")
-    told = rows.agg(
+    return rows.agg(
         F.countDistinct("folder").alias("directories_touched"), *[F.count_if(F.col("status") == s).alias(f"{s}_files") for s in ("copied", "moved", "analyze_only", "failed")],
         F.count_if(renamed).alias("collision_renamed_files"), F.count_if(renamed & F.col("met_existing")).alias("preserved_existing_files"),
-    ).head()
-    return told.asDict()
+    )
+
+
+def counters(rows: DataFrame) -> dict[str, int]:
+    return count(rows).head().asDict()
 
 
 def write_manifest(path: Path, header: dict, entries: DataFrame) -> None:

@@ -6,11 +6,12 @@ axis, its source the model; a vector's signs are a hash. Every query runs over i
 
 from __future__ import annotations
 
+import dataclasses
 import struct
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import features as X
@@ -22,7 +23,7 @@ from tessera.operators.components import components
 from tessera.scratch import Scratch
 from tessera.sources import binary
 
-from . import classify
+from . import classify, organize, report
 from .normalize import normalize
 from .policy import Axis, Policy
 
@@ -84,12 +85,6 @@ def q_exact_duplicates(spark, sf_dir):
     return out.select("doc_id", "checksum", "members", "place", (F.col("place") == 1).alias("is_representative"))
 
 
-@query("select lang, source, arg_min(doc_id, struct_pack(a := -n_chars, b := doc_id)) representative, count(*) members from documents group by lang, source")
-def q_representative(spark, sf_dir):
-    best = F.min(F.struct(F.negative("n_chars").alias("a"), "doc_id"))
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(best["doc_id"].alias("representative"), F.count(F.lit(1)).alias("members"))
-
-
 @query(f"""with d as (select doc_id, lang, n_chars, case when {any_sql(NSFW, "lower(text)")} then 'NSFW' else 'SFW' end label, sha256(text) checksum from documents),
   g as (select lang, label, checksum, count(*) members, arg_min(doc_id, struct_pack(a := -n_chars, b := doc_id)) representative from d group by all),
   b as (select lang, label, count(*) n, sum((members > 1)::int) again, max(members) largest, min(representative) first_representative, sum(members) records from g group by lang, label)
@@ -297,7 +292,7 @@ def q_prompt_families(spark, sf_dir):
 
 
 SIGNS = "select vec_id, label, list_reduce(list_transform(range(1, 65), lambda i: (embedding[i] > 0)::ubigint), lambda a, b: a * 2 + b) p, list_reduce(list_transform(range(1, 65), lambda i: (embedding[i] > embedding[1 + i % 64])::ubigint), lambda a, b: a * 2 + b) d from embeddings"
-NEAR = 17.0
+NEAR = 20.0
 
 
 def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,19 +353,6 @@ def q_label_counts(spark, sf_dir):
     return classify.label_counts(rows.select(both.alias("categories")))
 
 
-@query("select issue, count(*) n from (select unnest(list_filter([case when n_chars < 100 then 'short' end, case when n_chars > 5000 then 'long' end, case when lang <> 'en' then 'foreign' end], lambda x: x is not null)) issue from documents) group by issue")
-def q_issue_counts(spark, sf_dir):
-    c = F.col("n_chars")
-    issues = F.array_compact(F.array(F.when(c < 100, "short"), F.when(c > 5000, "long"), F.when(F.col("lang") != "en", "foreign")))
-    return table(spark, sf_dir, "documents").select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("select count(*) documents, count(*) filter (quality = 1) good, count(*) filter (toxic = 1) toxic, count(*) filter (quality is null) unlabelled, count(distinct source) sources, count(distinct lang) langs from documents left join labels using (doc_id)")
-def q_stage_counters(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"))
-
-
 @query(r"""with p as (select page_id, regexp_extract(url, '^[^:]+://([^/]+)', 1) host, case when b = '' then 'index' else b end || '.html' file_name from (select page_id, url, regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '[._].*$', '') b from pages)),
   r as (select *, row_number() over (partition by host, file_name order by page_id) - 1 k from p) select page_id, host folder, case when k = 0 then file_name else replace(file_name, '.html', '_' || k || '.html') end resolved from r""")
 def q_collision_rename(spark, sf_dir):
@@ -389,22 +371,6 @@ def q_tail20(spark, sf_dir):
     return ranking.tail(table(spark, sf_dir, "events"), ["ts", "event_id"]).select("event_id", "event_type", "value")
 
 
-@query("select d.doc_id, quality, toxic from documents d left join labels l using (doc_id)")
-def q_group_lookup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
-
-
-@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
-def q_ungrouped(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
-
-
-@query("select item_id from benchmark b where exists (select 1 from documents d where d.doc_id = b.item_id and d.lang = 'en')")
-def q_path_exists(spark, sf_dir):
-    known = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("item_id"))
-    return table(spark, sf_dir, "benchmark").join(known, "item_id", "left_semi").select("item_id")
-
-
 @query(f"""select doc_id, axis_priority, label from (select doc_id, unnest([struct_pack(axis_priority := 1, label := case when {any_sql(NSFW, "lower(text)")} then 'NSFW' else 'SFW' end),
   struct_pack(axis_priority := 2, label := case when w <> 0 and h <> 0 then 'Resolution_' || w || 'x' || h else 'Resolution_Unknown' end)], recursive := true) from (select doc_id, text, n_chars % 7 w, doc_id % 5 h from documents))""")
 def q_category_long(spark, sf_dir):
@@ -413,17 +379,140 @@ def q_category_long(spark, sf_dir):
     return rows.select("doc_id", F.inline(both)).select("doc_id", "axis_priority", F.col("category_label").alias("label"))
 
 
-@query("""select lang, n, (sum(n) over (order by lang rows between unbounded preceding and current row) - n)::bigint before from (select lang, count(*) n from documents group by lang)""")
-def q_running_index(spark, sf_dir):
-    """Offsets of buckets in path order: counts first, then a window over one row per bucket."""
-    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("lang", "n", F.coalesce(F.sum("n").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+# --- representatives, numbering, members ------------------------------------------------------------------------------------
+@query("select lang, source, arg_min(doc_id, struct_pack(i := doc_id % 3, a := -(n_chars % 640) * 480, s := -n_chars, f := lower(source), d := doc_id)) representative, count(*) members from documents group by lang, source")
+def q_representative(spark, sf_dir):
+    """Fewest issues, largest area, largest file, first name, first id."""
+    best = ranking.best_of(F.col("doc_id") % 3, F.col("n_chars") % 640, F.lit(480), F.col("n_chars"), F.col("source"), F.col("doc_id"))
+    return ranking.representatives(table(spark, sf_dir, "documents"), ["lang", "source"], best)
+
+
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the buckets of their languages and sources with groups of equal texts; the rest is unique."""
+    name, none = F.format_string("%018d", "doc_id"), F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").withColumn("checksum", F.sha2("text", 256))
+    again = docs.groupBy("lang", "source", "checksum").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = docs.join(again, ["lang", "source", "checksum"]).withColumn("several", F.col("n") > 1)
+    return rows.select(
+        name.alias("image_id"), F.array("lang", "source").alias("path"), F.when(F.col("several"), F.format_string("%018d", "first")).alias("cluster"), F.when(F.col("several"), "exact_duplicate").otherwise("unique").alias("group_type"),
+        (F.col("doc_id") % 3).cast("int").alias("n_issues"), (F.col("n_chars") % 640).cast("int").alias("width"), F.lit(480).alias("height"), F.col("n_chars").cast("bigint").alias("size"), name.alias("file_name"),
+        none.alias("perceptual_hash"), none.alias("difference_hash"), F.lit(None).cast("array<double>").alias("embedding"), F.array("lang").alias("tokens"), F.col("source").alias("series"),
+    )
+
+
+NUMBERED = """d as (select doc_id, lang, source, count(*) over (partition by lang, source, text) > 1 several, min(doc_id) over (partition by lang, source, text) c0, {best} best from documents),
+  g as (select lang, source, several, case when several then c0 end c, min(best) best, count(*) members from d group by all),
+  k as (select *, row_number() over (order by lang, source, several desc, case when several then best end nulls first, c) idx from g)""".format(
+    best="struct_pack(i := doc_id % 3, a := -(n_chars % 640) * 480, s := -n_chars, f := doc_id, d := doc_id)"
+)
+
+
+@query(f"with {NUMBERED} select lang, source, case when several then 'exact_duplicate' else 'unique' end group_type, idx::bigint idx, case when several then 'exact_duplicate_' || format('{{:03d}}', idx) else 'unique' end group_id, best.d representative, members from k")
+def q_group_numbering(spark, sf_dir):
+    """Groups numbered over all buckets in path order, `unique` last in each, with their representatives."""
+    g = grouping.numbered(grouped(spark, sf_dir), Scratch(spark, "numbering"))
+    return g.select(F.col("path")[0].alias("lang"), F.col("path")[1].alias("source"), "group_type", F.col("index").cast("bigint").alias("idx"), "group_id", F.col("representative").cast("bigint").alias("representative"), "members")
+
+
+@query(f"with {NUMBERED} select doc_id, case when d.several then 'exact_duplicate_' || format('{{:03d}}', idx) else 'unique' end group_id, case when d.several then 1.0::double end relation_score, doc_id = k.best.d is_representative from d join k on d.lang = k.lang and d.source = k.source and d.several = k.several and (not d.several or d.c0 = k.c)")
+def q_group_members(spark, sf_dir):
+    """Every row with its group's id, its score against the representative, and whether it is that."""
+    scratch = Scratch(spark, "members")
+    clustered = scratch.table(grouped(spark, sf_dir), "clustered")
+    rows = grouping.members(clustered, scratch.table(grouping.numbered(clustered, scratch), "groups"))
+    return rows.select(F.col("image_id").cast("bigint").alias("doc_id"), "group_id", "relation_score", "is_representative")
+
 
+@query("select doc_id, (sum(n_chars) over (order by lang, doc_id rows between unbounded preceding and current row) - n_chars)::bigint before from documents")
+def q_running_offsets(spark, sf_dir):
+    """Sum over all rows before, without a window over the whole table."""
+    return ranking.running(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang", "doc_id"], F.col("n_chars"), Scratch(spark, "running")).select("doc_id", "before")
 
-@query(f"""with s as ({SIGNS}) select vec_id, round_even(greatest(0, 1 - (bit_count(xor(s.p, r.p)) + bit_count(xor(s.d, r.d))) / 2 / 64.0::double), 4) score from s join (select label, arg_min(p, vec_id) p, arg_min(d, vec_id) d from s group by label) r using (label)""")
+
+KINDS = ("exact_duplicate", "near_duplicate", "same_prompt_family", "same_model_series", "visual_similar", "unique")
+
+
+@query(f"""with s as ({SIGNS}), r as (select x.vec_id, x.vec_id % 6 k, (bit_count(xor(x.p, y.p)) + bit_count(xor(x.d, y.d))) / 2 dist, x.vec_id % 4 = y.vec_id % 4 same_token, x.label = y.label same_label, x.label <> y.label and x.vec_id % 4 <> y.vec_id % 4 apart,
+    list_cosine_similarity(ex.embedding::double[], ey.embedding::double[]) cosine from s x join s y on y.vec_id = x.vec_id // 2 join embeddings ex on ex.vec_id = x.vec_id join embeddings ey on ey.vec_id = y.vec_id)
+  select vec_id, case k when 0 then 1.0 when 1 then round_even(greatest(0, 1 - dist / 64.0::double), 4) when 2 then case when same_token and same_label then 1.0 when apart then 0.0 else 0.3333 end when 3 then case when same_label then 1.0 end
+    when 4 then round_even(greatest(cosine, round_even(greatest(0, 1 - dist / 64.0::double), 4)), 4) end::double score from r""")
 def q_relation_score(spark, sf_dir):
-    """Hash similarity of every vector with the first one of its label."""
+    """Each kind of relation between a vector and the one at half its id: hashes, token sets, series, and the better of cosine and hashes."""
     rows = signs(spark, sf_dir)
-    first = rows.groupBy("label").agg(F.min_by(F.struct("p", "d"), "vec_id").alias("r"))
-    distance = S.combined_distance(F.col("p"), F.col("d"), F.col("r.p"), F.col("r.d"))
-    return rows.join(first, "label").select("vec_id", S.hash_similarity(distance).alias("score"))
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    features = F.struct(digits("p").alias("perceptual_hash"), digits("d").alias("difference_hash"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(F.col("label").cast("string"), F.concat(F.lit("t"), (F.col("vec_id") % 4).cast("string"))).alias("tokens"), F.col("label").cast("string").alias("series"))
+    rows = rows.select("vec_id", features.alias("f"))
+    both = rows.select("vec_id", F.col("f").alias("own"), F.floor(F.col("vec_id") / 2).alias("half")).join(rows.select(F.col("vec_id").alias("half"), F.col("f").alias("rep")), "half")
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("vec_id") % 6).cast("int"))
+    return both.select("vec_id", grouping.relation_score(kind, "rep", "own").alias("score"))
+
+
+@query(f"""with s as ({SIGNS}), q as (select x.vec_id a, y.vec_id b, (bit_count(xor(x.p, y.p)) + bit_count(xor(x.d, y.d))) / 2 dist, list_cosine_similarity(ex.embedding::double[], ey.embedding::double[]) c
+    from s x join s y on x.label = y.label and x.vec_id <> y.vec_id join embeddings ex on ex.vec_id = x.vec_id join embeddings ey on ey.vec_id = y.vec_id),
+  near as (select distinct a from q where dist <= {NEAR}), v as (select distinct a from q where a not in (select a from near) and b not in (select a from near) and round_even(greatest(c, round_even(greatest(0, 1 - dist / 64.0::double), 4)), 4) >= 0.7)
+  select vec_id, case when vec_id in (select a from near) then 'near_duplicate' when vec_id in (select a from v) then 'visual_similar' else 'unique' end group_type from s""")
+def q_vector_cascade(spark, sf_dir):
+    """The cascade's passes over hashes and vectors: what the near pass takes, the visual one does not see."""
+    rows, none = signs(spark, sf_dir), F.lit(None).cast("string")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    name = F.format_string("%018d", "vec_id")
+    rows = rows.select(
+        name.alias("image_id"), F.array(F.col("label").cast("string")).alias("path"), none.alias("checksum"), digits("p").alias("perceptual_hash"), digits("d").alias("difference_hash"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.array().cast("array<string>").alias("tokens"), none.alias("series"), F.lit(0).alias("n_issues"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(1).cast("bigint").alias("size"), name.alias("file_name"),
+    )
+    out = grouping.cascade(rows, grouping.Thresholds(near=NEAR, visual=0.7), Scratch(spark, "vectors"))
+    return out.select(F.col("image_id").cast("bigint").alias("vec_id"), "group_type")
+
+
+# --- stages and their counters ----------------------------------------------------------------------------------------------
+@query("select issue \"value\", count(*) n from (select unnest(list_filter([case when n_chars < 100 then 'short' end, case when n_chars > 5000 then 'long' end, case when lang <> 'en' then 'foreign' end], lambda x: x is not null)) issue from documents) group by issue")
+def q_issue_counts(spark, sf_dir):
+    c = F.col("n_chars")
+    issues = F.array_compact(F.array(F.when(c < 100, "short"), F.when(c > 5000, "long"), F.when(F.col("lang") != "en", "foreign")))
+    return report.counted(table(spark, sf_dir, "documents"), F.explode(issues))
+
+
+@query("""with r as (select source, lang || '.txt' n, row_number() over (partition by source, lang order by doc_id) - 1 + (lang in ('en', 'fr'))::int k, lang in ('en', 'fr') old, doc_id % 4 s from documents)
+  select count(distinct source) directories_touched, count(*) filter (s = 0) copied_files, count(*) filter (s = 1) moved_files, count(*) filter (s = 2) analyze_only_files, count(*) filter (s = 3) failed_files,
+    count(*) filter (k > 0) collision_renamed_files, count(*) filter (k > 0 and old) preserved_existing_files from r""")
+def q_organize_counters(spark, sf_dir):
+    """Counters of the organisation stage over names that meet one another and files of an earlier run."""
+    return organize.count(placed(spark, sf_dir))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("folder"), F.concat("lang", F.lit(".txt")).alias("file_name"))
+    old = docs.where("file_name in ('en.txt', 'fr.txt')").select("folder", "file_name").distinct()
+    status = F.get(F.array(*map(F.lit, ("copied", "moved", "analyze_only", "failed"))), (F.col("doc_id") % 4).cast("int"))
+    return ranking.rename_collisions(docs, "folder", "file_name", ["doc_id"], old).withColumn("status", status)
+
+
+@query("""select doc_id, source folder, case when k = 0 then lang || '.txt' else lang || '_' || k || '.txt' end resolved, old met_existing
+  from (select doc_id, source, lang, row_number() over (partition by source, lang order by doc_id) - 1 + (lang in ('en', 'fr'))::int k, lang in ('en', 'fr') old from documents)""")
+def q_existing_outputs(spark, sf_dir):
+    """Names that an earlier run has taken are never given again."""
+    return placed(spark, sf_dir).select("doc_id", "folder", "resolved", "met_existing")
+
+
+@query(f"""select doc_id, axis_priority, label, confidence from (select doc_id, unnest([struct_pack(axis_priority := 1, label := case when {any_sql(NSFW, "lower(text)")} then 'NSFW' else 'SFW' end, confidence := null::double),
+  struct_pack(axis_priority := 2, label := case when w <> 0 and h <> 0 then 'Resolution_' || w || 'x' || h else 'Resolution_Unknown' end, confidence := null::double),
+  struct_pack(axis_priority := 3, label := 'unique', confidence := case when doc_id % 2 = 0 then 0.3 else 0.0 end::double)], recursive := true) from (select doc_id, text, n_chars % 7 w, doc_id % 5 h from documents))""")
+def q_classify_stage(spark, sf_dir):
+    """classify() along three enabled axes of a policy (a fourth is off), in order of priority; the similarity axis holds its place until grouping."""
+    axes = (Axis(3, "similarity", "S", "unique"), Axis(1, "safety", "Safety", "Safety_Unknown"), Axis(2, "resolution", "R", "Resolution_Unknown"), Axis(9, "model", "M", "Model_Unknown", enabled=False))
+    rows = as_images(table(spark, sf_dir, "documents")).withColumns({"image_id": F.col("doc_id").cast("string"), "file_name": F.col("doc_id").cast("string"), "perceptual_hash": F.when(F.col("doc_id") % 2 == 0, "00ff")})
+    out = classify.classify(rows.drop("style_family", "character_family"), dataclasses.replace(POLICY, axes=axes), Scratch(spark, "classify"))
+    out = out.select("doc_id", F.inline("categories"))
+    return out.select("doc_id", "axis_priority", F.col("category_label").alias("label"), F.when(F.col("criterion") == "similarity", F.col("confidence").cast("double")).alias("confidence"))
+
+
+@query("""with p as (select p_partkey, p_partkey % 5 k from part), n as (select k, row_number() over (order by min(lpad(p_partkey::varchar, 10, '0'))) number from p group by k having count(*) > 1)
+  select p_partkey, '{group}_' || format('{{:03d}}', number) label from p join n using (k)""".format(group=classify.SOME_GROUP))
+def q_natural_labels(spark, sf_dir):
+    """Families whose texts show nothing that has a phrase get a counted label, in order of first names."""
+    key = F.col("p_partkey")
+    words = F.array(*[F.concat(F.lit(w), (key % 5).cast("string")) for w in ("qalpha", "qbeta", "qgamma")])
+    name = F.lpad(key.cast("string"), 10, "0")
+    rows = table(spark, sf_dir, "part").select(name.alias("image_id"), name.alias("file_name"), words.alias("w"), F.array_join(words, " ").alias("t"))
+    out = classify.families(rows, F.col("w"), 0.42, None, Scratch(spark, "natural"), F.col("t"))
+    return out.select(F.col("image_id").cast("bigint").alias("p_partkey"), "label")

@@ -34,8 +34,13 @@ def write_csv(path: Path, rows: DataFrame) -> None:
         out.writerows(tuple(r) for r in rows.toLocalIterator())
 
 
+def counted(rows: DataFrame, value: Column) -> DataFrame:
+    """value, n."""
+    return rows.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(rows: DataFrame, value: Column) -> dict[str, int]:
-    return {r["v"]: r["n"] for r in rows.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()}
+    return {r["value"]: r["n"] for r in counted(rows, value).orderBy("value").collect()}
 
 
 def summary(run: dict[str, Any], rows: DataFrame, n_groups: int, stages: dict[str, Any]) -> dict[str, Any]:

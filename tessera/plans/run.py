@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
 from dataclasses import dataclass
 from datetime import datetime
 from pathlib import Path
@@ -79,7 +78,7 @@ def with_groups(rows: DataFrame, policy: Policy, scratch: Scratch) -> tuple[Data
     """rows with group columns and the similarity axis written back; groups; members."""
     limits = grouping.Thresholds(policy.similarity_threshold, float(policy.rule("prompt_family_threshold", 0.58)), float(policy.rule("visual_similarity_threshold", 0.92)))
     clustered = grouping.cascade(group_input(rows), limits, scratch)
-    groups = scratch.table(grouping.numbered(clustered), "groups")
+    groups = scratch.table(grouping.numbered(clustered, scratch), "groups")
     members = scratch.table(grouping.members(clustered, groups), "members")
     rows = rows.join(members.select("image_id", "group_id", "group_type", "representative", "relation_score", "is_representative"), "image_id", "left")
     axis = policy.similarity_axis()
@@ -185,8 +184,3 @@ def run_pipeline(spark: SparkSession, source_root: str | Path | None, output_roo
 def payload(run: Run, output_root: str | Path) -> dict[str, Any]:
     """What a front end shows of a run that has just ended."""
     return artifacts.payload(output_root) | {"project_run": {"run_id": run.run_id, "started_at": run.started_at.isoformat(), "policy": run.policy.to_dict(), "summary": run.summary}}
-
-
-def clear(folder: Path) -> None:
-    """For fixtures: remove a folder of our own making."""
-    shutil.rmtree(folder, ignore_errors=True)

@@ -108,7 +108,7 @@ def test_cascade(spark):
     kinds = {r["image_id"]: r["group_type"] for r in clustered.collect()}
     want = dict(zip("abcdefghijkl", ["exact_duplicate"] * 2 + ["near_duplicate"] * 2 + ["same_prompt_family"] * 2 + ["same_model_series"] * 2 + ["visual_similar"] * 2 + ["unique"] * 2))
     assert kinds == want
-    groups = grouping.numbered(clustered)
+    groups = grouping.numbered(clustered, Scratch(spark, "t"))
     ids = {r["group_id"]: (r["representative"], r["index"]) for r in groups.collect() if r["path"] == ["p"]}
     assert ids == {"exact_duplicate_002": ("a", 2), "near_duplicate_003": ("c", 3), "same_prompt_family_004": ("e", 4), "same_model_series_005": ("g", 5), "visual_similar_006": ("i", 6), "unique": ("k", 7)}
     score = {r["image_id"]: r["relation_score"] for r in grouping.members(clustered, groups).collect()}

@@ -49,7 +49,6 @@ def test_labels(spark):
     assert one(spark, T.model_series(F.lit("모델_Diffusion V4.5"))) == "모델-diffusion-v4"
     assert one(spark, T.model_series(F.lit("nai-diffusion-v4"))) == "nai-diffusion"
     assert one(spark, T.clean_artist(F.lit(' "Null" '))) is None
-    assert one(spark, T.dedupe_fold(F.array(F.lit("A"), F.lit("b"), F.lit("a")))) == ["A", "b"]
 
 
 def test_nested_json_prompts():
