@@ -116,7 +116,10 @@ def hamming_pairs(df: DataFrame, id_col: str, bucket: Column, first: Column, sec
             out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda m: F.transform(one, lambda o: m.bitwiseOR(o))))))
         return out
 
-    band = lambda v: F.explode(F.flatten(F.array(*[F.transform(v(a, b), lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("v"))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])))
+    def keyed(k: int, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(k).alias("k"), x.alias("v")))
+
+    band = lambda v: F.explode(F.flatten(F.array(*[keyed(k, v(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])))
     filed = rows.withColumn("band", band(lambda a, b: F.array(bits(a, b))))
     asked = rows.withColumn("band", band(lambda a, b: F.transform(masks(b - a), lambda m: m.bitwiseXOR(bits(a, b)))))
     x, y = (r.select(F.col("bucket").alias(f"bucket{k}"), F.col("band.k").alias(f"k{k}"), F.col("band.v").alias(f"v{k}"), F.col("id").alias(k), F.col("p").alias(f"p{k}"), F.col("d").alias(f"d{k}")) for k, r in (("a", filed), ("b", asked)))
