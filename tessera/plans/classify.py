@@ -197,8 +197,8 @@ def families(rows: DataFrame, tokens: Column, threshold: float, prefix: str | No
     return member.join(clusters, "cluster").select("image_id", "label")
 
 
-def classify(rows: DataFrame, policy: Policy, scratch: Scratch) -> DataFrame:
-    """`rows` with `categories`: one result per enabled axis, in order of priority. Families are found over all rows before."""
+def classify(rows: DataFrame, policy: Policy, scratch: Scratch, keep_families: bool = False) -> DataFrame:
+    """`rows` with `categories`: one result per enabled axis, in order of priority. Families are found over all rows before, and may be kept as columns."""
     axes = policy.enabled()
     asked = {a.criterion for a in axes}
     none_yet = F.lit(None).cast("string")
@@ -213,7 +213,7 @@ def classify(rows: DataFrame, policy: Policy, scratch: Scratch) -> DataFrame:
         rows = rows.join(found.withColumnRenamed("label", "character_family"), "image_id", "left")
     else:
         rows = rows.withColumn("character_family", none_yet)
-    return rows.withColumn("categories", F.array(*[CRITERIA[a.criterion](a, policy) for a in axes])).drop("style_family", "character_family")
+    return rows.withColumn("categories", F.array(*[CRITERIA[a.criterion](a, policy) for a in axes])).drop(*([] if keep_families else ["style_family", "character_family"]))
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

@@ -239,12 +239,16 @@ FIXTURES = (
     ("cut", ".png", _png(_chunk(b"iTXt", b"a\0\0"))),
     ("none", ".png", _png()),
     ("jpeg", ".jpg", b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + 34) + b"Exif\0\0" + _tiff(b"camera\0\0") + b"\xff\xc0\0\x0b\x08\0\x03\0\x04"),
+    ("lossy", ".webp", b"RIFF\0\0\0\0WEBPVP8 " + struct.pack("<I", 10) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 300, 200)),
+    ("lossless", ".webp", b"RIFF\0\0\0\0WEBPVP8L" + struct.pack("<I", 5) + b"\x2f" + struct.pack("<I", 299 | 199 << 14)),
+    ("broken", ".png", b"no image"),
+    ("big_endian", ".jpg", b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + 34) + b"Exif\0\0" + b"MM\0*" + struct.pack(">IHHHIII", 8, 1, 0x0131, 2, 8, 26, 0) + b"camera\0\0" + b"\xff\xc0\0\x0b\x08\0\x03\0\x04"),
     ("webp", ".webp", b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + b"\0\0\0\0\x09\0\0\x07\0\0EXIF" + struct.pack("<I", 34) + _tiff(b"camera\0\0")),
 )
 
 
 @query("""select * from (values ('text', 2, 1, 'png_text', 'Comment=café|Title=été', false), ('itxt', 2, 1, 'png_text', 'a=two', false), ('cut', 2, 1, null, null, true), ('none', 2, 1, null, null, false),
-  ('jpeg', 4, 3, 'jpeg_exif', 'Software=camera', false), ('webp', 10, 8, 'webp_exif', 'Software=camera', false)) t(name, width, height, source_format, texts, failed)""")
+  ('jpeg', 4, 3, 'jpeg_exif', 'Software=camera', false), ('webp', 10, 8, 'webp_exif', 'Software=camera', false), ('lossy', 300, 200, null, null, false), ('lossless', 300, 200, null, null, false), ('broken', null, null, null, null, true), ('big_endian', 4, 3, 'jpeg_exif', 'Software=camera', false)) t(name, width, height, source_format, texts, failed)""")
 def q_metadata_extract(spark, sf_dir):
     """Small files of every container through the parsers."""
     rows = spark.createDataFrame([(n, e, bytearray(b)) for n, e, b in FIXTURES], "name string, ext string, content binary")

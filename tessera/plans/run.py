@@ -15,7 +15,7 @@ from tessera.functions import features as X
 from tessera.functions import text as T
 from tessera.operators import grouping
 from tessera.scratch import Scratch
-from tessera.sources import artifacts, scan
+from tessera.sources import artifacts, demo, scan
 from tessera.sources.binary import metadata_column, pixels_column
 
 from . import embedding, organize, report
@@ -60,9 +60,10 @@ def with_features(rows: DataFrame, resolution: embedding.Resolution) -> DataFram
         "dominant_tags": F.when(there, X.enriched_tags(F.col("width"), F.col("height"), F.col("_mean"), F.col("_contrast"), F.col("prompt"))).otherwise(X.basic_tags(F.col("width"), F.col("height"))),
     })
     local = F.when(there, X.local_embedding(F.col("_mean"), F.col("_contrast"), F.col("_edges"), F.col("aspect_ratio"), F.col("prompt"), F.col("model"), F.col("dominant_tags"), F.col("file_name")))
-    if resolution.backend:
-        local = F.coalesce(embedding.external_embedding(resolution.backend, F.col("file_path")), local)
-    return rows.withColumn("embedding", local).drop("_x", "_mean", "_contrast", "_edges")
+    outer = embedding.external_embedding(resolution.backend, F.col("file_path")) if resolution.backend else F.lit(None).cast("array<double>")
+    rows = rows.withColumn("_outer", outer)
+    rows = rows.withColumns({"embedding": F.coalesce("_outer", local), "external": F.col("_outer").isNotNull()})
+    return rows.drop("_x", "_mean", "_contrast", "_edges", "_outer")
 
 
 def group_input(rows: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ class Run:
     log: list[str]
 
 
-def stage_counters(rows: DataFrame) -> dict[str, dict[str, int]]:
+def stage_counters(rows: DataFrame, backend: embedding.Resolution) -> dict[str, dict[str, Any]]:
     """Counters of metadata, normalisation and features, in one aggregation."""
     valid = ~F.array_contains("issues", "invalid_image_header")
     has = lambda c: F.count_if(F.col(c).isNotNull())
@@ -117,15 +118,22 @@ def stage_counters(rows: DataFrame) -> dict[str, dict[str, int]]:
         has("source_format").alias("extracted"), F.count_if(valid & F.col("source_format").isNull() & ~F.array_contains("issues", "metadata_extraction_failed")).alias("missing"), failed("metadata_extraction_failed").alias("failed"), F.count_if(~valid).alias("skipped"),
         *[has(c).alias(f"with_{c}") for c in ("prompt", "negative_prompt", "seed", "model", "artist")], F.count_if(F.size("character_prompts") > 0).alias("with_character_prompts"),
         has("perceptual_hash").alias("hashed"), failed("feature_extraction_failed").alias("feature_failed"), has("embedding").alias("embedded"),
+        F.count_if("external").alias("external"), F.count(F.lit(1)).alias("n"),
     ).head().asDict()
     return {
         "metadata_extraction": {f"metadata_{k}": told[k] for k in ("extracted", "missing", "failed", "skipped")}, "normalization": {k: v for k, v in told.items() if k.startswith("with_")},
-        "features": {"features_extracted": told["hashed"], "feature_failures": told["feature_failed"], "embeddings": told["embedded"]},
+        "features": {
+            "processed_images": told["n"] - told["skipped"], "skipped_invalid_images": told["skipped"], "extracted_hashes": told["hashed"], "extracted_embeddings": told["embedded"],
+            "external_embeddings": told["external"], "local_embeddings": told["embedded"] - told["external"], "embedding_backend": backend.provider, "requested_embedding_provider": backend.requested,
+            "using_external_backend": backend.backend is not None, "failed_images": told["feature_failed"],
+        },
     }
 
 
-def run_pipeline(spark: SparkSession, source_root: str | Path | None, output_root: str | Path, policy: Policy | str | Path, execution_mode: str | None = None, started_at: datetime | None = None) -> Run:
-    """Everything from a folder to its reports; the folder itself is never changed."""
+def run_pipeline(spark: SparkSession, source_root: str | Path | None, output_root: str | Path, policy: Policy | str | Path, execution_mode: str | None = None, started_at: datetime | None = None, use_demo_input: bool = False) -> Run:
+    """Everything from a folder to its reports; the folder itself is never changed. With `use_demo_input` a small tree is written to it first, or beside the output."""
+    if use_demo_input:
+        source_root = demo.write_tree(source_root or Path(output_root).resolve().parent / "demo_input")
     if source_root is None or not str(source_root).strip():
         raise ValueError("Source Root is required unless demo input is enabled.")
     source, output = Path(source_root).resolve(), Path(output_root).resolve()
@@ -139,27 +147,33 @@ def run_pipeline(spark: SparkSession, source_root: str | Path | None, output_roo
         stages[stage] = told
         log.append(report.log_line(stamp, "INFO", message, context=told))
 
-    found = scan.files(spark, str(source), policy.include_subdirectories)
-    images = scan.images(found, policy.rule("supported_extensions", [".png", ".jpg", ".jpeg", ".webp"]))
+    kinds = policy.rule("supported_extensions", None) or [".png", ".jpg", ".jpeg", ".webp"]
+    images = scan.images(scan.files(spark, str(source), policy.include_subdirectories, kinds), kinds)
     backend = embedding.resolve(policy.extra_rules)
     # One projection over one read; what follows works on rows without the bytes.
     rows = scratch.table(with_features(normalize(with_metadata(images)), backend), "images")
-    visited = found.select("file_path").count()
+    visited = scan.files(spark, str(source), policy.include_subdirectories).select("file_path").count()  # names alone, no bytes
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("issues", "invalid_image_header")).alias("bad")).head()
     done("scan", "Scan stage completed.", {"visited_files": visited, "candidate_files": told["n"], "valid_images": told["n"] - told["bad"], "skipped_files": visited - told["n"], "invalid_images": told["bad"]})
-    for k, v in stage_counters(rows).items():
+    for k, v in stage_counters(rows, backend).items():
         done(k, f"{k} stage completed.", v)
     if backend.warning:
         log.append(report.log_line(stamp, "WARNING", backend.warning))
-    rows = scratch.table(classify(rows, policy, scratch), "classified")
+    rows = scratch.table(classify(rows, policy, scratch, keep_families=True), "classified")
+    families = rows.agg(
+        F.count(F.lit(1)).alias("processed_images"), F.count_if(F.size("categories") > 0).alias("classified_images"),
+        F.countDistinct("style_family").alias("auto_style_families"), F.countDistinct("character_family").alias("auto_character_families"),
+    ).head().asDict()
+    rows = rows.drop("style_family", "character_family")
     rows, groups, members = with_groups(rows, policy, scratch)
     rows = scratch.table(rows, "grouped")
     counts: dict[str, dict[str, int]] = {}
     for r in label_counts(rows).orderBy("criterion", "label").collect():
         counts.setdefault(r["criterion"], {})[r["label"]] = r["n"]
-    done("classification", "Classification stage completed.", {"by_criterion": counts})
+    done("classification", "Classification stage completed.", families | {"by_criterion": counts})
     kinds = report.value_counts(groups, F.col("group_type"))
-    done("grouping", "Grouping stage completed.", {"buckets": groups.select("path").distinct().count(), "groups": sum(kinds.values()), "by_type": kinds})
+    told = {"bucket_count": groups.select("path").distinct().count(), "group_count": sum(kinds.values())} | {f"{k}_groups": kinds.get(k, 0) for k in grouping.PASSES}
+    done("grouping", "Grouping stage completed.", told | {"by_group_type": kinds})
 
     output.mkdir(parents=True, exist_ok=True)
     sorted_root = output / "Sorted"

@@ -12,9 +12,16 @@ def image_id(path: Column) -> Column:
     return F.concat(F.lit("img-"), F.substring(F.sha1(path.cast("binary")), 1, 12))
 
 
-def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, length, content, file_name, extension (lower case) of every file; names that begin with `_` or `.` are skipped by the source."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+def files(spark: SparkSession, root: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
+    """path, length, content, file_name, extension (lower case) of every file; names that begin with `_` or `.` are skipped by the source.
+
+    With `extensions` other files are left out by the listing, so that no task reads their bytes.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if extensions:
+        any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        source = source.option("pathGlobFilter", "*{" + ",".join(map(any_case, extensions)) + "}")
+    raw = source.load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = raw.select(path.alias("file_path"), F.col("length").alias("file_size_bytes"), "content")
     rows = rows.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
@@ -29,10 +36,3 @@ def images(rows: DataFrame, extensions: list[str]) -> DataFrame:
         image_id(F.col("file_path")).alias("image_id"), "file_name", "file_path", "extension", "file_size_bytes", "probe.width", "probe.height",
         F.sha2("content", 256).alias("checksum_sha256"), F.col("probe.issues").alias("issues"), "content",
     )
-
-
-def counters(rows: DataFrame, found: DataFrame) -> dict[str, int]:
-    """visited, candidate, valid, skipped and invalid files."""
-    visited = rows.count()
-    told = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("issues") == 0).alias("valid")).head()
-    return {"visited_files": visited, "candidate_files": told["n"], "valid_images": told["valid"], "skipped_files": visited - told["n"], "invalid_images": told["n"] - told["valid"]}

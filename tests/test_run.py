@@ -138,3 +138,19 @@ def test_incremental(spark, tree, tmp_path):
     assert append_new(*args) == 5
     (tree / "more.png").write_bytes(png())
     assert append_new(*args) == 6
+
+
+def test_demo_run(spark, tmp_path):
+    """A run over the demo tree: counters of every stage, and names that the package exports."""
+    import tessera
+
+    run = tessera.run_pipeline(spark, None, tmp_path / "out", tessera.default_policy(), use_demo_input=True)
+    told = run.summary["summary"]
+    assert told["scan"] == {"visited_files": 6, "candidate_files": 5, "valid_images": 4, "skipped_files": 1, "invalid_images": 1}
+    assert told["features"] | {"embedding_backend": ""} == {
+        "processed_images": 4, "skipped_invalid_images": 1, "extracted_hashes": 4, "extracted_embeddings": 4, "external_embeddings": 0, "local_embeddings": 4, "embedding_backend": "",
+        "requested_embedding_provider": "auto", "using_external_backend": False, "failed_images": 0,
+    }
+    assert told["grouping"]["exact_duplicate_groups"] == 1 and told["grouping"]["group_count"] == sum(told["grouping"]["by_group_type"].values())
+    assert told["classification"]["processed_images"] == told["classification"]["classified_images"] == 5 and {"auto_style_families", "auto_character_families"} <= told["classification"].keys()
+    assert all(getattr(tessera, name) for name in tessera.__all__)
