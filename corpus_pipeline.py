@@ -1,7 +1,12 @@
 """The training-data pipeline: quality rules, language identification, near-duplicate removal, packing.
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs; all but the last return the columns of `docs`. A stage works on all that its predecessor kept.
+again as the next one's docs; all but the last return the columns of `docs`, whatever their names. A stage works on all that its
+predecessor kept, and each row has its own verdict, so repeated rows share theirs until near-duplicate removal leaves one of them.
+
+Null, empty and blank texts have no words: the quality rules reject them. A null language is no label to learn from, but its text is
+judged like any other; where no language can be learnt nothing is kept. Rows without an id stay, as nothing can name them as copies; of
+rows with one id one stays (of the same text, unless ids are not unique, when either may). An empty table gives empty stages.
 """
 
 from __future__ import annotations

@@ -121,6 +121,42 @@ def test_op6(spark, sf_dir, docs):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def plain_fingerprint(text: str) -> str:
+    """One permutation, optimal densification and low bits, a shingle and a bin at a time."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chained(*parts: bytes) -> int:
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p, h)
+        return h
+
+    number = lambda i: int(i).to_bytes(4, "little")
+    w = WORDS_OF(text)
+    least: dict[int, int] = {}
+    for i in range(max(1, len(w) - 4) if w else 0):
+        h = chained(*w[i : i + 5]) >> 2
+        least[h >> 54] = min(h, least.get(h >> 54, 1 << 62))
+    out = []
+    for i in range(256 if least else 0):
+        at = i
+        if i not in least:
+            tried = [signed(chained(number(i), number(t))) % 256 for t in range(1, 9)]
+            at = next((j for j in tried if j in least), None)
+            if at is None:
+                at = min(least, key=lambda j: (signed(chained(number(i), number(j))), least[j] & 255))
+        out.append(f"{least[at] & 255:02x}")
+    return "".join(out)
+
+
+def test_op6_bins(spark, sf_dir, docs):
+    got = run("op6_fingerprints", spark, sf_dir)
+    for i, t in docs.items():
+        assert got[i]["fingerprint"] == plain_fingerprint(t), i
+
+
 def test_op7(spark, sf_dir, duck, docs):
     got = run("op7_language_id", spark, sf_dir)
     lang = dict(duck.sql("select doc_id, lang from documents").fetchall())
@@ -130,8 +166,12 @@ def test_op7(spark, sf_dir, duck, docs):
 
 
 def test_pipeline(spark, sf_dir, duck):
-    """run() against a plain re-computation of each stage from its input."""
+    """Each stage against a plain re-computation from its input, and run() against all of them."""
     import corpus_pipeline as P
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from tessera.llm import langid, packing
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     keep = {r[0] for r in duck.sql(f"select doc_id from ({Q.ORACLES['op9_quality_rules']}) where kept").fetchall()}
@@ -139,10 +179,46 @@ def test_pipeline(spark, sf_dir, duck):
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == keep
     two = P.language(spark, one, sf_dir)
     ids = {r["doc_id"] for r in two.collect()}
-    assert two.columns == docs.columns and ids <= keep and len(ids) > 0.95 * len(keep)
+    told = langid.predict(one, langid.train(one, F.lit(True))).collect()
+    assert two.columns == docs.columns and ids == {r["doc_id"] for r in told if r["lang_pred"] != "und" and r["score"] >= P.SURE} and len(ids) > 0.95 * len(keep)
     listed = ", ".join(map(str, sorted(ids)))
     sql = Q.ORACLES["op4_near_dup"].replace("from documents)", f"from documents where doc_id in ({listed}))", 1)
     left = {r[0] for r in duck.sql(f"select doc_id from ({sql}) where kept").fetchall()}
     three = P.near_duplicates(spark, two, sf_dir)
-    assert three.columns == docs.columns and {r["doc_id"] for r in three.collect()} == left
-    assert {r["doc_id"] for r in P.run(spark, sf_dir).collect()} == left
+    texts = {r["doc_id"]: r["text"] for r in three.collect()}
+    assert three.columns == docs.columns and set(texts) == left
+    rows = P.run(spark, sf_dir).collect()
+    t, pieces, sequences = Tokenizer.from_file(Q.vocabulary("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert set(pieces) == left
+    for i, text in texts.items():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted(pieces[i], key=lambda r: r["start"])
+        assert [(r["start"], r["length"], r["loss_tokens"]) for r in mine] == sorted(packing.cuts(len(ids), packing.Limits()))
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+    for some in sequences.values():
+        some.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in some] == np.cumsum([0, *(r["length"] for r in some[:-1])]).tolist()
+        assert sum(r["length"] for r in some) <= 2048 and len(some) <= 32 and sum(r["loss_tokens"] for r in some) <= 1984
+
+
+def test_pipeline_edges(spark, sf_dir):
+    """Nulls, repeated rows and ids, clashing columns and an empty table through every stage."""
+    import corpus_pipeline as P
+
+    texts = [" ".join(f"the word{k}x{j} and" for j in range(20)) for k in range(6)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)] + [(None, texts[5] + " more", "en", None), (3, texts[3], "en", "s"), (7, None, None, None), (8, "", "en", "s"), (9, "12 34", None, "s"), (10, texts[0], "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "'clash' kept", "'clash' n", "'clash' length")
+    one = P.quality(spark, docs, sf_dir)
+    assert one.columns == docs.columns and sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in one.collect()) == [-1, 0, 1, 2, 3, 3, 4, 5, 10]
+    two = P.language(spark, one, sf_dir)
+    assert two.columns == docs.columns and two.count() == 9
+    three = P.near_duplicates(spark, two, sf_dir)
+    left = [r["doc_id"] for r in three.collect()]
+    assert three.columns == docs.columns and None in left and 10 not in left and left.count(3) == 1 and 0 in left
+    four = P.pack(spark, three, sf_dir)
+    assert {r["doc_id"] for r in four.collect()} == set(left)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
