@@ -16,7 +16,8 @@ part, not once per occurrence, and a level costs one exchange of asks and one of
 can matter is asked: a sequence can reach `LEAST` only if the shorter ones in it do. Contexts with a `HOT` share of all symbols
 are dealt by event, so that no part holds one of them whole; their sums (at most 1 / share contexts a level) are told to all blocks.
 
-Words, contexts and events are compared by 64-bit hashes; among n distinct ones a pair collides with probability n^2 / 2^65. A block
+Words, contexts and events are compared by 64-bit hashes; among n distinct ones a pair collides with probability n^2 / 2^65. (An ask
+tells symbols by 48 bits of their hashes: two of one context collide with probability 2^-48.) A block
 holds whole texts, so memory follows `BLOCK` or the longest text. Null, empty and blank texts have the end alone. Repeated rows count
 and are scored as often as they occur; a null id counts as a training row. Columns other than the id and the text are never read; an
 empty table gives an empty result, and without training rows every symbol is the unseen one, of probability 1.
@@ -194,7 +195,8 @@ class Level:
         one = order[begin]
         of, symbol = self.context[self.places[one]], symbol[one]
         self.of, self.walk, self.order, self.begin = of, walk, order, begin
-        hash_events = lambda: follow(self.keys[of], walk.hashes[symbol])
+        self.symbols = lambda: walk.hashes[symbol] >> np.uint64(16)
+        hash_events = lambda: follow(self.keys[of], self.symbols())
         # Entries: a context of its own part, or a hot context in every part that gets one of its events.
         is_hot = self.total >= hot
         entry_context, entry_part, event_entry = np.arange(len(self.keys)), part_of(self.keys, parts), of
@@ -219,15 +221,15 @@ class Level:
         at = np.searchsorted(entry_part[by_part], np.arange(parts + 1))
         ends = np.concatenate([[0], np.cumsum(size)])
         self.slices = [(r, int(at[r]), int(at[r + 1]), int(ends[at[r]]), int(ends[at[r + 1]])) for r in range(parts) if at[r] < at[r + 1]]
-        self.size, self.hash_events = size, hash_events
+        self.size = size
 
     def asks(self) -> Iterator[tuple[int, bytes]]:
         walk, at = self.walk, self.live[self.places]
         n = added(walk.train[at][self.order].astype(np.int64), self.begin)
         near = np.minimum(np.round(-np.log2(walk.p[at[self.order[self.begin]]]) * GRAIN), 65535).astype(np.uint64)
-        keys, total, events, n, near = self.keys[self.entry], self.total[self.entry], *(x[self.by_event] for x in (self.hash_events(), n, near))
+        keys, total, symbols, n, near = self.keys[self.entry], self.total[self.entry], *(x[self.by_event] for x in (self.symbols(), n, near))
         for r, a, b, c, d in self.slices:
-            yield r, pack(rising(keys[a:b]), total[a:b], self.size[a:b], events[c:d], n[c:d], near[c:d])
+            yield r, pack(rising(keys[a:b]), total[a:b], self.size[a:b], symbols[c:d], n[c:d], near[c:d])
 
     def hear(self, told: dict[int, bytes], sums: tuple) -> tuple[np.ndarray, ...]:
         """By context: kept symbols, their mass, whether it is a state. By event: the count."""
@@ -453,8 +455,9 @@ def told_level(asks: DataFrame, d: int, told: Told, least: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         lists = [unpack(b) for b in table.column("ask")]
         lengths = [(len(x[0]), len(x[3])) for x in lists]
-        keys, events = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists]), np.concatenate([x[3] for x in lists])
+        keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lists])
         total, size, n, near = (np.concatenate([x[k].astype(t) for x in lists]) for k, t in ((1, np.int64), (2, np.int32), (4, np.int64), (5, np.uint16)))
+        events = follow(np.repeat(keys, size), np.concatenate([x[3] for x in lists]))
         del lists
         _, first, context = first_and_number(keys)
         unique = np.zeros(len(first), np.uint64)

@@ -6,7 +6,7 @@ shared folder; an attempt that died leaves an archive that no index row names. R
 and block of it, sorted by offset, ranges less than `GAP` bytes apart are read in one request, and each record is parsed back from
 its own bytes.
 
-Equal payloads (SHA-1 and length): the record with the smallest id is a `response`, the others are `revisit` records without a
+Equal payloads (those of equal SHA-1): the record with the smallest id is a `response`, the others are `revisit` records without a
 payload which name it; payloads under `least` bytes are always written. Null html is an empty payload, a null URL an empty
 target. A null id sorts before all others and is written as an empty id. Repeated rows: all rows with the smallest id of a payload
 are responses. Columns other than id, URL and payload are never read; an empty table gives an empty result.
