@@ -143,7 +143,7 @@ def calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
 
 def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int | None = None, seed: int = 5) -> FactorizationMachine:
     """The machine for documents given as (doc, term, value) sorted by doc; every term gets weights. Of several decays of factors that with the least loss aside."""
-    x, n = x.astype(np.float64), len(y)
+    n = len(y)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     begin = np.searchsorted(doc, np.arange(n + 1))
     mixed = np.random.default_rng(seed).permutation(n)
@@ -151,11 +151,11 @@ def fit(doc: np.ndarray, term: np.ndarray, x: np.ndarray, y: np.ndarray, epochs:
     found = []
     for pairs in PAIRS if len(aside) else PAIRS[-1:]:
         model = FactorizationMachine(np.unique(term), seed=seed)
-        row = model.rows(term) >> 1
+        row = (model.rows(term) >> 1).astype(np.int32)
 
         def of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in some])
-            return np.repeat(np.arange(len(some)), begin[some + 1] - begin[some]), row[at], x[at]  # noqa: B023
+            return np.repeat(np.arange(len(some)), begin[some + 1] - begin[some]), row[at], x[at].astype(np.float64)  # noqa: B023
 
         noise = np.sqrt(np.bincount(row, x * x, len(model.p["w"])) * share * (1 - share)) / n
         learn(model, of, learnt, y, share, noise, pairs, epochs or int(np.clip(20_000 // max(1, n), 6, 60)))
@@ -222,10 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     if not table.num_rows:
         return None
     table = table.sort_by([("id", "ascending"), ("term", "ascending")])
+    y = table.column("y").to_numpy()
     parts = table.column("term").to_pylist()
-    doc = np.repeat(np.arange(len(parts)), [len(t) // 4 for t in parts])
-    term, x = np.frombuffer(b"".join(parts), np.int32), np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32)
-    return fit(doc, term, x, table.column("y").to_numpy(), **how)
+    doc, term = np.repeat(np.arange(len(parts), dtype=np.int32), [len(t) // 4 for t in parts]), np.frombuffer(b"".join(parts), np.int32)
+    del parts
+    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32)
+    del table  # what is left is 12 bytes a term of a text
+    return fit(doc, term, x, y, **how)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
