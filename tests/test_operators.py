@@ -61,6 +61,20 @@ def test_hamming(spark, threshold):
     assert got == want
 
 
+def test_jaccard_blocks(spark, monkeypatch):
+    """Many small blocks, sets from one token to thousands; no pair is lost or met twice."""
+    monkeypatch.setattr(pairs, "CELLS", 1 << 14)
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        base = {f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 5, 40, 300, 2500]))} if i % 3 == 0 else set(rng.sample(rows[-1][2], max(1, int(len(rows[-1][2]) * 0.9)))) | {f"x{i}"}
+        rows.append((i, "a", sorted(base)))
+    sets = pairs.equal_sets(spark.createDataFrame(rows, "id bigint, b string, t array<string>"), "id", F.col("b"), F.col("t"))
+    got = sorted((r["a"], r["b"], r["overlap"]) for r in pairs.jaccard_pairs(sets, 0.5).collect())
+    s = [(i, set(t)) for i, _, t in rows]
+    assert got == [(i, j, len(x & y)) for i, x in s for j, y in s if i < j and len(x & y) / len(x | y) >= 0.5] and len(got) > 50
+
+
 def test_running(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("abc"), rng.randrange(10)) for i in range(300)]
