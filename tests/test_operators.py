@@ -61,6 +61,25 @@ def test_hamming(spark, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.0, 3.0, 20.0])
+def test_hamming_copies(spark, threshold):
+    """With copies, each pair of rows; and the stars from the first of equal hashes."""
+    rng = random.Random(6)
+    word = lambda: rng.getrandbits(64) - (1 << 63)
+    rows = [(f"r{i:02}", "b", word(), word()) for i in range(10)]
+    rows += [(f"s{i:02}", rng.choice(["b", None]), p ^ (i % 3), d) for i in range(40) for _, _, p, d in [rng.choice(rows[:10])]]
+    df = spark.createDataFrame(rows, "id string, b string, p bigint, d bigint")
+    of = df, "id", F.col("b"), F.col("p"), F.col("d")
+    got = [(r["a"], r["b"], r["distance"]) for r in pairs.hamming_pairs(*of, threshold, copies=True).collect()]
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = [(i, j, (bits(p, q) + bits(d, e)) / 2) for i, b, p, d in rows for j, c, q, e in rows if b == c and i < j and (bits(p, q) + bits(d, e)) / 2 <= threshold]
+    assert sorted(got) == sorted(want) and any(x[2] == 0 for x in want)
+    first = {}
+    for i, b, p, d in rows:
+        first.setdefault((b, p, d), i)
+    assert {tuple(r) for r in pairs.equal_hashes(*of).collect()} == {(first[b, p, d], i) for i, b, p, d in rows if first[b, p, d] != i}
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Many small blocks, sets from one token to thousands; no pair is lost or met twice."""
     monkeypatch.setattr(pairs, "CELLS", 1 << 14)
