@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.components import components
-from tessera.operators.pairs import equal_sets, jaccard_pairs
+from tessera.operators.pairs import equal_sets, jaccard_pairs, set_digest
 from tessera.operators.ranking import running
 from tessera.scratch import Scratch
 
@@ -168,8 +168,9 @@ def families(rows: DataFrame, tokens: Column, threshold: float, prefix: str | No
     sets = scratch.table(equal_sets(rows, "image_id", F.lit(0), F.col("tokens")), "sets")
     pairs = jaccard_pairs(sets, threshold, scratch=scratch).select("a", "b")
     roots = components(pairs, scratch)
-    named = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("tokens", F.coalesce("root", "rep").alias("cluster"))
-    member = scratch.table(rows.withColumn("tokens", F.array_sort("tokens")).join(named, "tokens").select("image_id", "file_name", "text", "cluster"), "members")
+    # Rows find their set by its digest: the tokens themselves are not moved again.
+    named = sets.select("rep", set_digest(F.col("tokens")).alias("digest")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("cluster"))
+    member = scratch.table(rows.select("image_id", "file_name", "text", set_digest(F.array_sort("tokens")).alias("digest")).join(named, "digest").select("image_id", "file_name", "text", "cluster"), "members")
     clusters = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(F.lower("file_name")).alias("first")).where("n > 1")
     clusters = running(clusters, ["first", "cluster"], F.lit(1), scratch).withColumn("number", F.col("before") + 1).drop("before")
     if prefix is None:

@@ -94,6 +94,13 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert got == [(i, j, len(x & y)) for i, x in s for j, y in s if i < j and len(x & y) / len(x | y) >= 0.5] and len(got) > 50
 
 
+def test_set_digest(spark):
+    """Sets that read alike when joined have different digests."""
+    sets = [["a", "b"], ["a,b"], ["a,1:b"], ["a", "1:b"], ["ab"], ["1:a"], ["a"], []]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in sets], "t array<string>").select(pairs.set_digest(F.col("t"))).collect()]
+    assert len(set(got)) == len(sets)
+
+
 def test_running(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("abc"), rng.randrange(10)) for i in range(300)]
